@@ -31,27 +31,34 @@ def cut_before(h: Column, i: Column, seed: int) -> Column:
 
 
 def chunks(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
-    """doc_id, mark (names the text), lines, at, size, key: chunks of LEAST_LINES lines at least, of all seeds, each range once."""
+    """doc_id, mark (names the text), at, size, key: chunks of LEAST_LINES lines at least, of all seeds, each range once."""
     lines = docs.where(F.instr("text", "\n") > 0).select("doc_id", F.xxhash64("text").alias("mark"), F.split("text", "\n", -1).alias("lines"))
-    hashed = lines.withColumn("h", F.transform("lines", lambda x: F.xxhash64(x)))
-    h, n = F.col("h"), F.size("lines")
+    hashed = lines.select("doc_id", "mark", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
+    h, n = F.col("h"), F.size("h")
     ranges = []
     for seed in range(seeds):
         cuts = F.filter(F.sequence(F.lit(1), n - 1), lambda i, seed=seed: cut_before(h, i, seed))
         both = F.arrays_zip(F.concat(F.array(F.lit(0)), cuts).alias("at"), F.concat(cuts, F.array(n)).alias("end"))
         ranges.append(F.filter(both, lambda r: r["end"] - r["at"] >= LEAST_LINES))
-    every = hashed.withColumn("r", F.explode(F.array_distinct(F.concat(*ranges))))
-    at, size = F.col("r.at"), F.col("r.end") - F.col("r.at")
-    return every.select("doc_id", "mark", "lines", at.alias("at"), size.alias("size"), F.xxhash64(F.slice(h, at + 1, size)).alias("key"))
+    found = F.transform(F.array_distinct(F.concat(*ranges)), lambda r: F.struct(r["at"].alias("at"), (r["end"] - r["at"]).alias("size"), F.xxhash64(F.slice(h, r["at"] + 1, r["end"] - r["at"])).alias("key")))
+    return hashed.select("doc_id", "mark", F.explode(found).alias("r")).select("doc_id", "mark", "r.*")
 
 
 def repeats(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
-    """doc_id, mark, at, size of every chunk that repeats an earlier one byte by byte."""
+    """doc_id, mark, at, size of every chunk that repeats an earlier one byte by byte.
+
+    Hashes of chunks meet first, without text; only texts that hold a hash seen twice give their chunks' bytes.
+    """
     place = F.struct("doc_id", "mark", "at")
-    nominated = chunks(docs, seeds).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    nominated = materialise(nominated, "chunk-keys")
-    body = F.array_join(F.slice("lines", F.col("at") + 1, F.col("size")), "\n")
-    held = chunks(docs, seeds).join(nominated, "key").select("key", "doc_id", "mark", "at", "size", body.alias("body"))
+    every = materialise(chunks(docs, seeds), "chunk-hashes")
+    twice = materialise(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "chunk-keys")
+    wanted = every.join(twice, "key").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "size", "key")).alias("wanted"))
+    wanted = materialise(wanted.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), "wanted"), "chunk-wanted")
+    texts = docs.where(F.instr("text", "\n") > 0).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    held = texts.join(wanted, (F.col("mark") == F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
+    lines = F.split("text", "\n", -1)
+    bodies = F.transform("wanted", lambda r: F.struct(r["at"].alias("at"), r["size"].alias("size"), r["key"].alias("key"), F.array_join(F.slice(lines, r["at"] + 1, r["size"]), "\n").alias("body")))
+    held = held.select("doc_id", "mark", F.explode(bodies).alias("r")).select("doc_id", "mark", "r.*")
     held = materialise(held.where(F.col("body").rlike(r"[^\x20\x09-\x0D]")), "chunk-bodies")
     first = materialise(held.groupBy("key", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("key", "body", "first"), "chunk-first")
     return held.join(first, ["key", "body"]).where(place != F.col("first")).select("doc_id", "mark", "at", "size")
