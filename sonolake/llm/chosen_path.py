@@ -1,22 +1,21 @@
 """Set similarity join by chosen paths: near-duplicate documents by the Jaccard similarity of word shingles.
 
-A document's set is its distinct shingles of five words. Equal sets are one member from here on. WIDTH
-minwise hashes embed a set as tokens (coordinate, hash value): two sets share a coordinate's token with a
-probability of their similarity.
+A document's set is its distinct shingles of five words. Equal sets are one member from here on. Minwise
+hashes choose tokens of a set: two sets share the chosen one with a probability of their similarity.
 
-A tree branches recursively: at each node, coordinates are chosen at random (BRANCH of them on average), and a
-member goes on to the child of each chosen coordinate's token. Members that are alike meet in many
-nodes, others in hardly any. A small node is compared exhaustively; a large one branches further.
-TREES independent trees at once bring the chance to miss a link of 0.75 below 1e-6.
+A tree branches recursively: a member goes from a node to the children of the tokens chosen there (one, and in half
+of the nodes a second one). Members that are alike meet in many nodes, others in hardly any. TREES independent
+trees at once bring the chance to miss a pair of 0.75 below 1e-6. Nodes with one member end there; small nodes are
+compared exhaustively; large nodes branch further.
 
-Only links between what is not linked yet matter for components, so that a group of thousands of near
-copies never has all its pairs compared: first, each member is compared with its most similar smaller neighbour
-among its nodes' smallest members, and the confirmed links make components. Then nodes that hold one component
-are done; in the others, members of the same component are not compared again. A large node of one large component
-and few others compares the others with all, which is linear; any other large node branches again. Nodes still large
-at DEPTH are compared in blocks, so that nothing is dropped.
+Components need only links between what is not linked yet. So each small node first names, for each member, its
+nearest other member and the node's hub (the member near most others); large nodes name their smallest member. Of these
+each member's best two are confirmed on full sets, and give components. From then on only nodes with several components
+count, and only pairs between components: all of them in small nodes; in a large node of one large component and FEW
+others, the others against all, in blocks; any other large node branches again, and at DEPTH is compared in blocks.
+So no pair is dropped, and a group of thousands of near copies never has all its pairs confirmed.
 
-Signatures rule out pairs below about half the similarity asked for; all others are confirmed on full sets.
+A sketch of WIDTH minwise values rules out pairs that are far from similar enough; all others are confirmed on full sets.
 
 Defined results: words are in bytes with A-Z in lower case; a text with fewer than five words has one shingle of all;
 a null text or one without words has none and is linked with nothing (component_id is its own id). Repeated rows have
@@ -27,11 +26,10 @@ not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,18 +39,23 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 75
-WIDTH = 96
-TREES = 12
-BRANCH = 1.5
-SMALL = 48
-DEPTH = 8
-#: Of WIDTH coordinates, a pair with fewer in common is not confirmed: 0.75 * WIDTH is 7 standard deviations above.
-ROUGH = int(0.75 * WIDTH - 7 * math.sqrt(WIDTH * 0.75 * 0.25))
+TREES = 8
+#: The second token is chosen in this share of nodes.
+SECOND = 0.5
+SMALL = 2000
+FEW = 256
+BLOCK = 512
+DEPTH = 6
+WIDTH = 512
+#: Common values that a pair needs to be confirmed: 5.5 standard deviations below what a similarity of 0.75 gives.
+ROUGH = int(0.75 * WIDTH - 5.5 * math.sqrt(WIDTH * 0.75 * 0.25))
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 SALTS = np.array([1, 2], np.uint64) * GOLD
 _random = np.random.default_rng(20)
-FACTORS = _random.integers(1, 1 << 62, WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _random.integers(0, 1 << 62, WIDTH, np.uint64)
+FACTORS = _random.integers(1, 1 << 62, WIDTH + 2 * TREES, np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFTS = _random.integers(0, 1 << 62, WIDTH + 2 * TREES, np.uint64)
+#: Hash functions of the trees' roots: two for every second tree, one for the others.
+ROOTS = [WIDTH + 2 * t + j for t in range(TREES) for j in range(1 + t % 2)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -82,97 +85,75 @@ class Shingler:
         return np.unique(mix(out))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """WIDTH minwise values of 16 bits."""
-    out = np.empty(WIDTH, np.uint64)
-    for at in range(0, WIDTH, 8):
-        part = slice(at, at + 8)
-        block = s[None, : 1 << 15] * FACTORS[part, None] + SHIFTS[part, None]
-        least = block.min(1)
-        for more in range(1 << 15, len(s), 1 << 15):
-            least = np.minimum(least, (s[None, more : more + (1 << 15)] * FACTORS[part, None] + SHIFTS[part, None]).min(1))
-        out[part] = least
-    return (mix(out) & np.uint64(0xFFFF)).astype("<u2")
+def minwise(s: np.ndarray, functions: np.ndarray) -> np.ndarray:
+    """The least value of each hash function over a set."""
+    out = np.empty(len(functions), np.uint64)
+    for at in range(0, len(functions), 8):
+        f = functions[at : at + 8]
+        least = None
+        for piece in range(0, len(s), 1 << 14):
+            block = (s[None, piece : piece + (1 << 14)] * FACTORS[f, None] + SHIFTS[f, None]).min(1)
+            least = block if least is None else np.minimum(least, block)
+        out[at : at + 8] = least
+    return out
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hi and set_lo (128 bits that name the set; null without shingles), sig."""
+    """doc_id, n_shingles, set_hi and set_lo (128 bits that name the set; null without shingles), nodes (the trees' first nodes)."""
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
+        shingles, roots = Shingler(), np.array(ROOTS)
         for b in batches:
-            n, hi, lo, sig = [], [], [], []
+            n, hi, lo, nodes = [], [], [], []
             for raw in b.column(1).to_pylist():
                 s = shingles(raw)
                 n.append(len(s))
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 hi.append(int.from_bytes(digest[:8], "little", signed=True) if len(s) else None)
                 lo.append(int.from_bytes(digest[8:], "little", signed=True) if len(s) else None)
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_hi", "set_lo", "sig"])
+                nodes.append(mix(minwise(s, roots) + roots.astype(np.uint64) * GOLD).view(np.int64).tolist() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hi", "set_lo", "nodes"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, nodes array<long>")
 
 
-def children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and child nodes. How many coordinates a node chooses, and which, follow from its hash: one at least, BRANCH on average."""
-    rows, out = [], []
-    every = np.arange(len(node))
-    more = mix(node + np.uint64(77)).astype(float) / 2.0**64
-    for j in range(2):
-        go = every if j == 0 else every[more < BRANCH - 1]
-        coordinate = mix(node[go] ^ SALTS[j]) % np.uint64(WIDTH)
-        value = sig[go, coordinate.astype(np.int64)].astype(np.uint64)
-        rows.append(go)
-        out.append(mix(node[go] * GOLD + mix((coordinate << np.uint64(20)) | value)))
-    return np.concatenate(rows), np.concatenate(out)
-
-
-def read_signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, WIDTH)
-
-
-def first_nodes(members: DataFrame, trees: int) -> DataFrame:
-    """node, id: every member's children of every tree's root. members: id, sig."""
+def signed(texts: DataFrame) -> DataFrame:
+    """Adds sig, WIDTH minwise values of 8 bits, to id, text, nodes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, every = Shingler(), np.arange(WIDTH)
         for b in batches:
-            ids, sig = b.column(0).to_numpy(), read_signatures(b.column(1))
-            for t in range(trees):
-                rows, child = children(np.full(len(ids), mix(np.array([t + 1], np.uint64))[0]), sig)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[rows])], ["node", "id"])
+            sig = [(mix(minwise(shingles(t), every)) & np.uint64(255)).astype(np.uint8).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig, pa.binary())], ["id", "text", "nodes", "sig"])
 
-    return members.select("id", "sig").mapInArrow(run, "node long, id long")
+    return texts.select("id", "text", "nodes").mapInArrow(run, "id long, text binary, nodes array<long>, sig binary")
 
 
-def next_nodes(held: DataFrame) -> DataFrame:
-    """held: node, id, sig."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                rows, child = children(b.column(0).to_numpy().view(np.uint64), read_signatures(b.column(2)))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(b.column(1).to_numpy()[rows])], ["node", "id"])
-
-    return held.select("node", "id", "sig").mapInArrow(run, "node long, id long")
+def read_signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH)
 
 
-def likely(pairs: DataFrame) -> DataFrame:
-    """Adds `near`, the number of common coordinates, and keeps rows that may be links. pairs: a, b, sig_a, sig_b."""
+def next_nodes(held: DataFrame) -> DataFrame:
+    """node, id of the children of every row. held: node, id, sig. Which values a node chooses follows from its hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                near = (read_signatures(b.column(2)) == read_signatures(b.column(3))).sum(1)
-                keep = pa.array(near >= ROUGH)
-                yield pa.RecordBatch.from_arrays([pc.filter(b.column(0), keep), pc.filter(b.column(1), keep), pc.filter(pa.array(near, pa.int32()), keep)], ["a", "b", "near"])
+            if not b.num_rows:
+                continue
+            node, ids, sig = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), read_signatures(b.column(2))
+            second = mix(node + np.uint64(77)).astype(float) / 2.0**64 < SECOND
+            for salt, go in zip(SALTS, (np.arange(len(node)), np.flatnonzero(second)), strict=True):
+                at = mix(node[go] ^ salt) % np.uint64(WIDTH)
+                child = mix(node[go] * GOLD + mix((at << np.uint64(20)) | sig[go, at.astype(np.int64)]))
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[go])], ["node", "id"])
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, near int")
+    return held.select("node", "id", "sig").mapInArrow(run, "node long, id long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach PERCENT. texts: id, text (binary)."""
-    one = pairs.select("a", "b").distinct()
-    sides = one.select(F.col("a").alias("id"), "a", "b").unionAll(one.select(F.col("b").alias("id"), "a", "b"))
-    held = sides.join(texts, "id")
+    """The pairs (a, b) whose full sets reach PERCENT. texts: id, text (binary). Only the pairs' texts move."""
+    one = materialise(pairs.select("a", "b").distinct(), "path-pairs")
+    sides = one.select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
+    held = sides.join(texts.select("id", "text"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, last, kept = Shingler(), None, None
@@ -183,100 +164,158 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if last != (x, y):
                     last, kept = (x, y), s
                     continue
-                both = len(s) + len(kept) - len(np.union1d(s, kept))
+                both = len(np.intersect1d(s, kept, assume_unique=True))
                 if 100 * both >= PERCENT * (len(s) + len(kept) - both):
                     a.append(x), b.append(y)
                 last = None
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return held.select("a", "b", "text").repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
-
-
-def exhaustive(nodes: DataFrame) -> DataFrame:
-    """a, b, near: likely pairs of different components in each node. nodes: node, id, comp, sig; a node's rows fit in a task."""
-    def run(t: pa.Table) -> pa.Table:
-        ids, comp, sig = t.column("id").to_numpy(), t.column("comp").to_numpy(), read_signatures(t.column("sig").combine_chunks())
-        a, b, n = [], [], []
-        for i in range(len(ids) - 1):
-            other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            near = (sig[other] == sig[i]).sum(1)
-            keep = near >= ROUGH
-            b.append(ids[other[keep]])
-            a.append(np.full(keep.sum(), ids[i]))
-            n.append(near[keep])
-        a, b, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, n))
-        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64()), "near": pa.array(n, pa.int32())})
+    return materialise(held.select("a", "b", "text").repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long"), "path-links")
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Cuts batches that are sorted by their first column into tables of one value."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        node = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(node)) + 1).tolist(), len(node)]
+        if held and held[0].column(0)[0].as_py() != node[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def nominate(nodes: DataFrame) -> DataFrame:
+    """a, b, near, hub: every member's nearest other and its node's hub. nodes: node, id, sig; small ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches):
+            ids, sig = t.column("id").to_numpy(), read_signatures(t.column("sig"))
+            n = len(ids)
+            near, other, degree, to_hub = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), None
+            for i in range(n):
+                c = (sig == sig[i]).sum(1)
+                c[i] = -1
+                other[i] = c.argmax()
+                near[i] = c[other[i]]
+                degree[i] = (c >= 0.75 * WIDTH).sum()
+                if to_hub is None or degree[i] > degree[to_hub[0]]:
+                    to_hub = i, c
+            hub, c = to_hub
+            a, b = np.concatenate([ids, ids]), np.concatenate([ids[other], np.full(n, ids[hub])])
+            value, is_hub = np.concatenate([near, c]), np.repeat([False, True], n)
+            keep = (value >= ROUGH) & (a != b)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(value[keep], pa.int32()), pa.array(is_hub[keep])], ["a", "b", "near", "hub"])
+
+    return nodes.select("node", "id", "sig").repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long, near int, hub boolean")
+
+
+def exhaustive(rows: DataFrame) -> DataFrame:
+    """a, b: likely pairs of different components in each small node. rows: node, id, comp, sig, nodes.
+
+    A pair that shares several of the trees' first nodes comes from the first of them only.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches):
+            ids, comp, sig = t.column("id").to_numpy(), t.column("comp").to_numpy(), read_signatures(t.column("sig"))
+            first = np.array(t.column("nodes").to_pylist())
+            here = first[0] == t.column("node")[0].as_py()
+            before = first[:, : int(here.argmax())] if here.any() else first[:, :0]
+            for i in range(len(ids) - 1):
+                other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+                other = other[(sig[other] == sig[i]).sum(1) >= ROUGH]
+                other = other[~(before[other] == before[i]).any(1)]
+                if len(other):
+                    x = np.full(len(other), ids[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, ids[other])), pa.array(np.minimum(x, ids[other]))], ["a", "b"])
+
+    return rows.select("node", "id", "comp", "sig", "nodes").repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long")
+
+
+def blocks(rows: DataFrame, name: str) -> DataFrame:
+    """node and blocks of at most about BLOCK of its rows, as arrays of id, comp, sig. rows also has n, the node's size."""
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).alias("part")
+    return rows.groupBy("node", part).agg(F.collect_list(F.struct("id", "comp", "sig")).alias(name)).drop("part")
+
+
+def block_pairs(all_blocks: DataFrame, other_blocks: DataFrame) -> DataFrame:
+    """a, b: likely pairs of different components between the blocks (mine, theirs) of a node."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for mine, theirs in zip(b.column(0), b.column(1), strict=True):
+                (ids, comp, sig), (ids2, comp2, sig2) = ((x.values.field("id").to_numpy(), x.values.field("comp").to_numpy(), read_signatures(x.values.field("sig"))) for x in (mine, theirs))
+                for i in range(len(ids2)):
+                    keep = ((sig == sig2[i]).sum(1) >= ROUGH) & (comp != comp2[i])
+                    if keep.any():
+                        x = np.full(int(keep.sum()), ids2[i])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, ids[keep])), pa.array(np.minimum(x, ids[keep]))], ["a", "b"])
 
-    return nodes.groupBy("node").applyInArrow(run, "a long, b long, near int")
+    met = all_blocks.join(other_blocks, "node").select("mine", "theirs")
+    return met.mapInArrow(run, "a long, b long")
 
 
-def links(members: DataFrame, texts_of: object, trees: int = TREES, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """Links (a > b) that join all members of PERCENT similarity into components. members: id, sig; distinct sets.
+def links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], small: int = SMALL, few: int = FEW, depth: int = DEPTH) -> DataFrame:
+    """Links (a, b) that join all members of PERCENT similarity into components. members: id, nodes; distinct sets.
 
-    texts_of: gets a frame of ids, returns id, text of those.
+    texts_of gets rows of id and gives id, text of those.
     """
-    nodes = first_nodes(members, trees)
-    shared = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-    held = materialise(nodes.join(materialise(shared, "path-shared"), "node"), "path-nodes")
-    sigs = materialise(members.join(held.select("id").distinct(), "id", "left_semi").select("id", "sig"), "path-sigs")
-    texts = materialise(texts_of(sigs.select("id")), "path-texts")
-
-    first = held.where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    near = likely(first.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"))
-    best = near.groupBy("a").agg(F.max(F.struct(F.col("near").alias("near"), (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
-    found = materialise(confirmed(best, texts), "path-links")
-    now = held.select("node", "id")
-    out, level = [found], 0
-    label = components(found)
-    while True:
-        level += 1
-        comps = now.join(label, "id", "left").select("node", "id", F.coalesce("component", "id").alias("comp"))
-        comps = materialise(comps, "path-comps")
-        sizes = comps.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
-        sizes = materialise(sizes.select("node", "n"), "path-sizes")
-        rows = comps.join(sizes, "node")
-        if level == 1 and sizes.isEmpty():
-            break
-        little = rows.where(F.col("n") <= small).select("node", "id", "comp").join(sigs, "id")
-        out.append(materialise(confirmed(exhaustive(little), texts), "path-links"))
-        large = materialise(rows.where(F.col("n") > small).select("node", "id", "comp", "n"), "path-large")
-        if large.isEmpty():
+    nodes = members.select("id", F.explode("nodes").alias("node"))
+    shared = materialise(nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"), "path-shared")
+    held = materialise(nodes.join(shared, "node"), "path-nodes")
+    some = members.join(held.select("id").distinct(), "id", "left_semi")
+    texts = materialise(signed(texts_of(some.select("id")).join(some, "id")), "path-texts")
+    sigs = texts.select("id", "sig", "nodes")
+
+    near = nominate(held.where(F.col("n") <= small).join(sigs, "id"))
+    best = near.groupBy("a", "hub").agg(F.max(F.struct("near", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    star = held.where((F.col("n") > small) & (F.col("id") > F.col("least"))).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    both = best.unionAll(star).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    out = confirmed(both, texts)
+    now = held.select("node", "id", "n")
+    for level in range(1, depth + 1):
+        label = components(out)
+        comps = materialise(now.join(label, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("comp")), "path-comps")
+        mixed = comps.groupBy("node").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("node")
+        rows = materialise(comps.join(mixed, "node"), "path-mixed")
+        if rows.isEmpty():
             break
-        groups = large.groupBy("node", "comp").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-        main = groups.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("m"), F.first("n").alias("n"))
-        few = F.col("n") - F.col("m.k") <= (small if level < depth else 1 << 62)
-        main = materialise(main.select("node", F.col("m.comp").alias("main"), few.alias("few")), "path-main")
-        other = large.join(main.where("few"), "node").where("comp <> main").select("node", F.col("id").alias("a"), F.col("comp").alias("comp_a"))
-        against = large.select("node", F.col("id").alias("b"), F.col("comp").alias("comp_b")).join(other, "node").where("comp_a <> comp_b").select("a", "b").distinct()
-        pairs = against.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        met = likely(pairs).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        out.append(materialise(confirmed(met, texts), "path-links"))
-        deeper = large.join(main.where("not few"), "node", "left_semi").select("node", "id")
-        now = next_nodes(deeper.join(sigs, "id"))
-        now = materialise(now, "path-nodes")
-        if now.isEmpty():
+        pairs = exhaustive(rows.where(F.col("n") <= small).join(sigs, "id"))
+        large = rows.where(F.col("n") > small)
+        deeper = large.isEmpty()
+        if not deeper:
+            main = large.groupBy("node", "comp").agg(F.count("*").alias("k"), F.first("n").alias("n")).groupBy("node").agg(F.max(F.struct("k", "comp")).alias("m"), F.first("n").alias("all"))
+            main = materialise(main.select("node", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.k")).alias("others")), "path-main")
+            done = main.where(F.col("others") <= few) if level < depth else main
+            mine = large.join(done.select("node"), "node", "left_semi").join(sigs.select("id", "sig"), "id")
+            theirs = mine.join(done, "node").where("comp <> main").select("node", "id", "comp", "sig", F.col("others").alias("n"))
+            pairs = pairs.unionAll(block_pairs(blocks(mine, "mine"), blocks(theirs, "theirs")))
+        out = out.unionAll(confirmed(pairs, texts))
+        if deeper or level == depth:
             break
-        every = out[0]
-        for x in out[1:]:
-            every = every.unionAll(x)
-        label = components(every)
-    every = out[0]
-    for x in out[1:]:
-        every = every.unionAll(x)
-    return every
+        left = large.join(main.where(F.col("others") > few).select("node"), "node", "left_semi")
+        child = materialise(next_nodes(left.join(sigs.select("id", "sig"), "id")), "path-nodes")
+        now = child.join(child.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node")
+    return out
 
 
-def near_duplicates(docs: DataFrame, trees: int = TREES, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, small: int = SMALL, few: int = FEW, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (it is that one)."""
     ready(docs.sparkSession)
     sketch = materialise(sketches(docs), "path-sketches")
     same = materialise(sketch.where("set_hi is not null and doc_id is not null").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id")), "path-sets")
-    members = sketch.join(same, ["set_hi", "set_lo"]).where("doc_id = id").select("id", "sig").dropDuplicates(["id"])
+    members = sketch.join(same, ["set_hi", "set_lo"]).where("doc_id = id").select("id", "nodes").dropDuplicates(["id"])
 
     def texts_of(ids: DataFrame) -> DataFrame:
         return docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text")).join(ids, "id").dropDuplicates(["id"])
 
-    label = components(links(materialise(members, "path-members"), texts_of, trees, small, depth))
+    label = components(links(materialise(members, "path-members"), texts_of, small, few, depth))
     named = sketch.select("doc_id", "n_shingles", "set_hi", "set_lo").join(same, ["set_hi", "set_lo"], "left").join(label, "id", "left")
     own = F.coalesce("component", "id", "doc_id")
     return named.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
