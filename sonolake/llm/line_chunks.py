@@ -19,29 +19,34 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SEEDS = 4
-RESIDUES = 4
+#: Hexadecimal digits of a line's MD5 that cut: one in four.
+RESIDUES = ["0", "4", "8", "c"]
 LEAST_LINES = 2
 
 
-def cut_before(h: Column, i: Column, seed: int) -> Column:
-    """Whether a chunk of this seed starts at line i (from 1): rolled over the lines on both sides, each on its own."""
-    before = F.pmod(F.xxhash64(F.get(h, i - 1), F.lit(2 * seed)), F.lit(RESIDUES)) == 0
-    after = F.pmod(F.xxhash64(F.get(h, i), F.lit(2 * seed + 1)), F.lit(RESIDUES)) == 0
-    return before | after
+def cuts(h: Column, seed: int) -> Column:
+    """Lines (from 0) before which this seed cuts, rolled over the two lines' hashes: each has digits of its own for each seed and side."""
+
+    def cut(i: Column) -> Column:
+        before = F.substring(F.get(h, i - 1), 2 * seed + 1, 1).isin(RESIDUES)
+        after = F.substring(F.get(h, i), 2 * seed + 2, 1).isin(RESIDUES)
+        return before | after
+
+    return F.filter(F.sequence(F.lit(1), F.size(h) - 1), cut)
 
 
 def chunks(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """doc_id, mark (names the text), at, size, key: chunks of LEAST_LINES lines at least, of all seeds, each range once."""
     lines = docs.where(F.instr("text", "\n") > 0).select("doc_id", F.xxhash64("text").alias("mark"), F.split("text", "\n", -1).alias("lines"))
-    hashed = lines.select("doc_id", "mark", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
+    hashed = lines.select("doc_id", "mark", F.transform("lines", lambda x: F.md5(x.cast("binary"))).alias("h"))
     h, n = F.col("h"), F.size("h")
     ranges = []
     for seed in range(seeds):
-        cuts = F.filter(F.sequence(F.lit(1), n - 1), lambda i, seed=seed: cut_before(h, i, seed))
-        both = F.arrays_zip(F.concat(F.array(F.lit(0)), cuts).alias("at"), F.concat(cuts, F.array(n)).alias("end"))
+        found = cuts(h, seed)
+        both = F.arrays_zip(F.concat(F.array(F.lit(0)), found).alias("at"), F.concat(found, F.array(n)).alias("end"))
         ranges.append(F.filter(both, lambda r: r["end"] - r["at"] >= LEAST_LINES))
-    found = F.transform(F.array_distinct(F.concat(*ranges)), lambda r: F.struct(r["at"].alias("at"), (r["end"] - r["at"]).alias("size"), F.xxhash64(F.slice(h, r["at"] + 1, r["end"] - r["at"])).alias("key")))
-    return hashed.select("doc_id", "mark", F.explode(found).alias("r")).select("doc_id", "mark", "r.*")
+    named = F.transform(F.array_distinct(F.concat(*ranges)), lambda r: F.struct(r["at"].alias("at"), (r["end"] - r["at"]).alias("size"), F.xxhash64(F.slice(h, r["at"] + 1, r["end"] - r["at"])).alias("key")))
+    return hashed.select("doc_id", "mark", F.explode(named).alias("r")).select("doc_id", "mark", "r.*")
 
 
 def repeats(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from . import bpe_tree, chosen_path, decontaminate, isolation_rules, language_mixture, line_chunks, pu_quality, token_lengths, unigram_lattice, warc
 from .common import ready, table
+from .oracles import ORACLES
 from .rule_stats import BASE
 
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(ready(spark), sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -56,4 +59,3 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc, op2_decontaminate, op3_lattice, op4_language, op5_isolation, op6_token_lengths, op7_line_chunks, op8_pu_quality, op9_chosen_path, op10_bpe_tree)
 }
-ORACLES: dict[str, str] = {}
