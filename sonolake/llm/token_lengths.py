@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_tree import TreeCodec
-from .common import ready
+from .common import materialise, ready
 
 SPAN = 1024
 
@@ -71,4 +71,4 @@ def answers(hist: DataFrame) -> DataFrame:
 
 
 def token_lengths(docs: DataFrame) -> DataFrame:
-    return answers(histogram(lengths(docs)))
+    return answers(materialise(histogram(lengths(docs)), "token-lengths"))
