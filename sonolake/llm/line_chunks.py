@@ -6,6 +6,8 @@ SEEDS independent hashes cut each text in as many ways, as one way misses short
 cut. Chunks of two lines or more whose bytes occur elsewhere are removed, but for the first occurrence
 (smallest doc_id, then place). Equal hashes only nominate chunks: what counts is the chunk's bytes.
 
+All joins merge sorted sides, so that small inputs run as large ones do and AQE can split a hot key's partitions.
+
 Defined results: a null text stays null, an empty one empty, and neither is removed. Lines end at \\n. A chunk with no
 word does not count. Repeated rows of one doc_id with the same text are one document, and keep or lose the same lines.
 A null doc_id sorts first. An empty table gives no rows. Extra columns pass through remove() unchanged.
@@ -57,23 +59,23 @@ def repeats(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     place = F.struct("doc_id", "mark", "at")
     every = materialise(chunks(docs, seeds), "chunk-hashes")
     twice = materialise(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "chunk-keys")
-    wanted = every.join(twice, "key").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "size", "key")).alias("wanted"))
+    wanted = every.join(twice.hint("merge"), "key").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "size", "key")).alias("wanted"))
     wanted = materialise(wanted.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), "wanted"), "chunk-wanted")
     texts = docs.where(F.instr("text", "\n") > 0).select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    held = texts.join(wanted, (F.col("mark") == F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
+    held = texts.join(wanted.hint("merge"), (F.col("mark") == F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
     lines = F.split("text", "\n", -1)
     bodies = F.transform("wanted", lambda r: F.struct(r["at"].alias("at"), r["size"].alias("size"), r["key"].alias("key"), F.array_join(F.slice(lines, r["at"] + 1, r["size"]), "\n").alias("body")))
     held = held.select("doc_id", "mark", F.explode(bodies).alias("r")).select("doc_id", "mark", "r.*")
     held = materialise(held.where(F.col("body").rlike(r"[^\x20\x09-\x0D]")), "chunk-bodies")
     first = materialise(held.groupBy("key", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("key", "body", "first"), "chunk-first")
-    return held.join(first, ["key", "body"]).where(place != F.col("first")).select("doc_id", "mark", "at", "size")
+    return held.join(first.hint("merge"), ["key", "body"]).where(place != F.col("first")).select("doc_id", "mark", "at", "size")
 
 
 def remove(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """docs with the repeated lines removed from text, and the columns removed_lines and removed_chunks."""
     ranges = repeats(docs, seeds).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "size")).alias("ranges"))
     ranges = materialise(ranges.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.flatten(F.transform("ranges", lambda r: F.sequence(r["at"], r["at"] + r["size"] - 1))).alias("__gone"), F.size("ranges").alias("__ranges")), "chunk-ranges")
-    met = docs.join(ranges, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__mark")), "left")
+    met = docs.join(ranges.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__mark")), "left")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
     out = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("removed_lines", "removed_chunks")]

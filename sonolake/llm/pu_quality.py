@@ -5,9 +5,10 @@ non-negative unbiased risk, where pi is the estimated share of positives among U
 
     pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])
 
-With the logistic loss, l(g) - l(-g) = -g, so the unbiased risk is convex and Newton steps minimise it; a
-step is halved while the second term would fall below zero or the risk rise. U is every document that trains
-and has no label; gradients and curvatures are sums over all of them, made by the executors.
+With the logistic loss, l(g) - l(-g) = -g, so the unbiased risk is convex and Newton steps minimise it. Where its
+minimum would make the second term negative, the model is too free for its rows: the ridge on the weights grows until
+the term at the minimum is not negative. U is every document that trains and has no label; gradients and curvatures are
+sums over all of them, made by the executors.
 
 pi is the share of quality 1 among the labelled rows that train, smoothed by one of each.
 
@@ -30,7 +31,9 @@ from .common import fold, materialise, ready, text_bytes
 from .rule_stats import base_counts
 
 STEPS = 10
-RIDGE = 1e-4
+#: Weights of the squared weights, tried in this order.
+RIDGES = [1e-4 * 4**k for k in range(9)]
+MOST_STEP = 20.0
 CUT = 0.3
 #: Characters whose share is a feature each: ASCII punctuation; then the shares of letters, digits, capitals, other bytes, white space.
 MARKS = np.array([c for c in range(33, 127) if not chr(c).isalnum()])
@@ -94,33 +97,26 @@ def sums(rows: DataFrame, w: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, prior: float, steps: int = STEPS) -> np.ndarray | None:
-    """Weights, or None without positives. rows: x, positive; the others are unlabelled."""
-    d, w, step, kept = WIDTH, np.zeros(WIDTH), None, None
-    ridge = np.full(d, RIDGE)
-    ridge[-1] = 1e-8
-    scale = 1.0
-    for _ in range(steps):
-        s = sums(rows, w)
-        n_u, loss_u, grad_u, curve = s[0], s[1], s[2 : 2 + d], s[2 + d : 2 + d + d * d].reshape(d, d)
-        n_p, loss_p, loss_np, sum_p = *s[2 + d + d * d : 5 + d + d * d], s[5 + d + d * d :]
-        if not n_p or not n_u:
-            return None
-        negative = loss_u / n_u - prior * loss_np / n_p
-        risk = prior * loss_p / n_p + max(0.0, negative) + 0.5 * float(ridge @ (w * w))
-        if kept is not None and (negative < 0 or risk > kept[1] + 1e-12):
-            scale /= 2
-            w = kept[0] - scale * step
-            if scale < 0.1:
+    """Weights, or None without positives or unlabelled rows. rows: x, positive; the others are unlabelled."""
+    d, w = WIDTH, np.zeros(WIDTH)
+    for ridge in RIDGES:
+        weight = np.full(d, ridge)
+        weight[-1] = 1e-8
+        for _ in range(steps):
+            s = sums(rows, w)
+            n_u, loss_u, grad_u, curve = s[0], s[1], s[2 : 2 + d], s[2 + d : 2 + d + d * d].reshape(d, d)
+            n_p, _, loss_np, sum_p = *s[2 + d + d * d : 5 + d + d * d], s[5 + d + d * d :]
+            if not n_p or not n_u:
+                return None
+            negative = loss_u / n_u - prior * loss_np / n_p
+            gradient = grad_u / n_u - prior * sum_p / n_p + weight * w
+            step = np.linalg.solve(curve / n_u + np.diag(weight + 1e-9), gradient)
+            if float(gradient @ step) < 1e-6:
                 break
-            continue
-        if kept is not None and kept[1] - risk < 1e-6:
-            kept = w, risk
+            w = w - step * min(1.0, MOST_STEP / max(1e-9, float(np.abs(step).max())))
+        if negative >= 0:
             break
-        kept = w, risk
-        gradient = grad_u / n_u - prior * sum_p / n_p + ridge * w
-        step, scale = np.linalg.solve(curve / n_u + np.diag(ridge + 1e-9), gradient), 1.0
-        w = w - step
-    return kept[0]
+    return w
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out_fold: tuple[int, int] = (5, 0)) -> DataFrame:
