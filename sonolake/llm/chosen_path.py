@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, ready, text_bytes, words_of
-from .components import components
+from .components import components, extended
 
 SHINGLE = 5
 PERCENT = 75
@@ -47,8 +47,8 @@ FEW = 256
 BLOCK = 512
 DEPTH = 6
 WIDTH = 512
-#: Common values that a pair needs to be confirmed: 5.5 standard deviations below what a similarity of 0.75 gives.
-ROUGH = int(0.75 * WIDTH - 5.5 * math.sqrt(WIDTH * 0.75 * 0.25))
+#: Common values that a pair needs to be confirmed: 4.5 standard deviations below what a similarity of 0.75 gives.
+ROUGH = int(0.75 * WIDTH - 4.5 * math.sqrt(WIDTH * 0.75 * 0.25))
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 SALTS = np.array([1, 2], np.uint64) * GOLD
 _random = np.random.default_rng(20)
@@ -152,25 +152,23 @@ def next_nodes(held: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach PERCENT. texts: id, text (binary). Only the pairs' texts move."""
     one = materialise(pairs.select("a", "b").distinct(), "path-pairs")
-    sides = one.select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
-    held = sides.join(texts.select("id", "text"), "id")
+    mine = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    held = mine.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, last, kept = Shingler(), None, None
         for batch in batches:
             a, b = [], []
-            for x, y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = shingles(text)
-                if last != (x, y):
-                    last, kept = (x, y), s
-                    continue
+            for x, y, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if y != last:
+                    last, kept = y, shingles(text_b)
+                s = shingles(text_a)
                 both = len(np.intersect1d(s, kept, assume_unique=True))
                 if 100 * both >= PERCENT * (len(s) + len(kept) - both):
                     a.append(x), b.append(y)
-                last = None
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return materialise(held.select("a", "b", "text").repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long"), "path-links")
+    return materialise(held.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "path-links")
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -261,8 +259,8 @@ def block_pairs(all_blocks: DataFrame, other_blocks: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], small: int = SMALL, few: int = FEW, depth: int = DEPTH) -> DataFrame:
-    """Links (a, b) that join all members of PERCENT similarity into components. members: id, nodes; distinct sets.
+def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], small: int = SMALL, few: int = FEW, depth: int = DEPTH) -> DataFrame:
+    """id, component of all members that PERCENT similarity links to others. members: id, nodes; distinct sets.
 
     texts_of gets rows of id and gives id, text of those.
     """
@@ -277,10 +275,9 @@ def links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], small:
     best = near.groupBy("a", "hub").agg(F.max(F.struct("near", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     star = held.where((F.col("n") > small) & (F.col("id") > F.col("least"))).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     both = best.unionAll(star).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    out = confirmed(both, texts)
+    label = components(confirmed(both, texts))
     now = held.select("node", "id", "n")
     for level in range(1, depth + 1):
-        label = components(out)
         comps = materialise(now.join(label, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("comp")), "path-comps")
         mixed = comps.groupBy("node").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("node")
         rows = materialise(comps.join(mixed, "node"), "path-mixed")
@@ -296,13 +293,13 @@ def links(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], small:
             mine = large.join(done.select("node"), "node", "left_semi").join(sigs.select("id", "sig"), "id")
             theirs = mine.join(done, "node").where("comp <> main").select("node", "id", "comp", "sig", F.col("others").alias("n"))
             pairs = pairs.unionAll(block_pairs(blocks(mine, "mine"), blocks(theirs, "theirs")))
-        out = out.unionAll(confirmed(pairs, texts))
+        label = extended(label, confirmed(pairs, texts))
         if deeper or level == depth:
             break
         left = large.join(main.where(F.col("others") > few).select("node"), "node", "left_semi")
         child = materialise(next_nodes(left.join(sigs.select("id", "sig"), "id")), "path-nodes")
         now = child.join(child.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node")
-    return out
+    return label
 
 
 def near_duplicates(docs: DataFrame, small: int = SMALL, few: int = FEW, depth: int = DEPTH) -> DataFrame:
@@ -315,7 +312,7 @@ def near_duplicates(docs: DataFrame, small: int = SMALL, few: int = FEW, depth:
     def texts_of(ids: DataFrame) -> DataFrame:
         return docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text")).join(ids, "id").dropDuplicates(["id"])
 
-    label = components(links(materialise(members, "path-members"), texts_of, small, few, depth))
+    label = linked(materialise(members, "path-members"), texts_of, small, few, depth)
     named = sketch.select("doc_id", "n_shingles", "set_hi", "set_lo").join(same, ["set_hi", "set_lo"], "left").join(label, "id", "left")
     own = F.coalesce("component", "id", "doc_id")
     return named.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
