@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -12,8 +12,6 @@ from . import scoring
 from .adaptors import FEATURES_SQL, features, table
 from .registry import query
 
-c, rate, std, container, energy = (F.col(x) for x in ("cutoff", "rate", "std", "container", "energy"))
-MP3 = R.mp3_source(c, container, std, rate, energy)
 
 KBPS_SQL = "CASE WHEN cutoff >= 19500 AND cutoff < 21500 THEN 320 WHEN cutoff >= 18500 AND cutoff < 19500 THEN 256 WHEN cutoff >= 17500 AND cutoff < 18500 THEN 224 WHEN cutoff >= 16500 AND cutoff < 17500 THEN 192 WHEN cutoff >= 15500 AND cutoff < 16500 THEN 160 WHEN cutoff >= 10000 AND cutoff < 15500 THEN 128 ELSE 0 END"
 THRESHOLD_SQL = "CASE rate WHEN 44100 THEN 20000.0::DOUBLE WHEN 48000 THEN 22000.0::DOUBLE WHEN 88200 THEN 40000.0::DOUBLE WHEN 96000 THEN 44000.0::DOUBLE WHEN 176400 THEN 80000.0::DOUBLE WHEN 192000 THEN 88000.0::DOUBLE ELSE rate * 0.45::DOUBLE END"
@@ -45,55 +43,59 @@ x AS (SELECT *, {FOLD_SQL.format(deltas=f"s1, {R7_SQL}, {R9_SQL}, CASE WHEN mp3
 v AS (SELECT *, {VERDICT_SQL} AS verdict FROM (SELECT *, CAST(CASE WHEN decided THEN s1 WHEN s2 >= 86 THEN s2 ELSE {FOLD_SQL.format(deltas=f"s2, {R10_SQL.format(score='s2')}, {R12_SQL}")} END AS INTEGER) AS score FROM x))"""
 
 
+def mp3_source() -> Column:
+    return R.mp3_source(F.col("cutoff"), F.col("container"), F.col("std"), F.col("rate"), F.col("energy"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tape = R.rule11(c, std, F.col("hiss_db"), F.col("hiss_corr"), F.col("slope"), F.lit(False))
+    tape = R.rule11(F.col("cutoff"), F.col("std"), F.col("hiss_db"), F.col("hiss_corr"), F.col("slope"), F.lit(False))
     return scoring.live(features(spark, sf_dir).withColumn("cassette", tape))
 
 
 @query(f"{WITH_MP3} SELECT k, CASE WHEN mp3 IS NOT NULL THEN 50 ELSE 0 END AS points, mp3 FROM m")
 def rule1_mp3_bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select("k", R.rule1(MP3).alias("points"), MP3.alias("mp3"))
+    return features(spark, sf_dir).select("k", R.rule1(mp3_source()).alias("points"), mp3_source().alias("mp3"))
 
 
 @query(f"WITH {FEATURES_SQL} SELECT k, {R2_SQL} AS points FROM f")
 def rule2_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select("k", R.rule2(c, rate).alias("points"))
+    return features(spark, sf_dir).select("k", R.rule2(F.col("cutoff"), F.col("rate")).alias("points"))
 
 
 @query(f"{WITH_MP3} SELECT k, {R3_SQL} AS points FROM m")
 def rule3_source_container(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select("k", R.rule3(MP3, container).alias("points"))
+    return features(spark, sf_dir).select("k", R.rule3(mp3_source(), F.col("container")).alias("points"))
 
 
 @query(f"{WITH_MP3} SELECT k, {R4_SQL} AS points FROM m")
 def rule4_bit_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select("k", R.rule4(F.col("depth"), MP3, c, F.col("ratio")).alias("points"))
+    return features(spark, sf_dir).select("k", R.rule4(F.col("depth"), mp3_source(), F.col("cutoff"), F.col("ratio")).alias("points"))
 
 
 @query(f"WITH {FEATURES_SQL} SELECT k, CASE WHEN container > 1000 AND std > 100 THEN -40 ELSE 0 END AS points FROM f")
 def rule5_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select("k", R.rule5(container, std).alias("points"))
+    return features(spark, sf_dir).select("k", R.rule5(F.col("container"), F.col("std")).alias("points"))
 
 
 @query(f"{WITH_MP3} SELECT k, CASE WHEN mp3 IS NULL AND container > 700 AND cutoff >= 19000 AND std > 50 THEN -30 ELSE 0 END AS points FROM m")
 def rule6_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select("k", R.rule6(MP3, container, c, std).alias("points"))
+    return features(spark, sf_dir).select("k", R.rule6(mp3_source(), F.col("container"), F.col("cutoff"), F.col("std")).alias("points"))
 
 
 @query(f"WITH {FEATURES_SQL} SELECT k, {R7_SQL} AS points FROM f")
 def rule7_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select("k", R.rule7(c, F.col("ratio"), F.col("vinyl"), F.col("clicks"), F.col("noise_db")).alias("points"))
+    return features(spark, sf_dir).select("k", R.rule7(F.col("cutoff"), F.col("ratio"), F.col("vinyl"), F.col("clicks"), F.col("noise_db")).alias("points"))
 
 
 @query(f"{WITH_MP3} SELECT k, CASE WHEN mp3 IS NOT NULL AND ratio > 0.2::DOUBLE AND {BASE8_SQL} < 0 THEN 0 WHEN mp3 IS NOT NULL AND ratio > 0.15::DOUBLE AND {BASE8_SQL} < 0 THEN -15 ELSE {BASE8_SQL} END AS points FROM (SELECT * EXCLUDE (mp3), CASE WHEN k % 2 = 0 THEN 320 END AS mp3 FROM m)")
 def rule8_nyquist(spark: SparkSession, sf_dir: str) -> DataFrame:
     mp3 = F.when(F.col("k") % 2 == 0, 320)
-    return features(spark, sf_dir).select("k", R.rule8(c, rate, mp3, F.col("ratio")).alias("points"))
+    return features(spark, sf_dir).select("k", R.rule8(F.col("cutoff"), F.col("rate"), mp3, F.col("ratio")).alias("points"))
 
 
 @query(f"{WITH_MP3} SELECT k, {R9_SQL} AS points FROM m")
 def rule9_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select("k", R.rule9(c, MP3, F.col("preecho"), F.col("aliasing"), F.col("pattern")).alias("points"))
+    return features(spark, sf_dir).select("k", R.rule9(F.col("cutoff"), mp3_source(), F.col("preecho"), F.col("aliasing"), F.col("pattern")).alias("points"))
 
 
 @query(f"WITH {FEATURES_SQL} SELECT k, {R10_SQL.format(score='(k % 90)')} AS points FROM f")
@@ -103,7 +105,7 @@ def rule10_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FEATURES_SQL} SELECT k, {R11_SQL.format(pattern='pattern')} AS points FROM f")
 def rule11_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select("k", R.rule11(c, std, F.col("hiss_db"), F.col("hiss_corr"), F.col("slope"), F.col("pattern")).alias("points"))
+    return features(spark, sf_dir).select("k", R.rule11(F.col("cutoff"), F.col("std"), F.col("hiss_db"), F.col("hiss_corr"), F.col("slope"), F.col("pattern")).alias("points"))
 
 
 @query(f"WITH {FEATURES_SQL} SELECT k, {R12_SQL} AS points, CASE WHEN probability >= 0.95::DOUBLE THEN 'very high' WHEN probability >= 0.8::DOUBLE THEN 'high' WHEN probability >= 0.65::DOUBLE THEN 'moderate' WHEN probability >= 0.5::DOUBLE THEN 'low' END AS level FROM f")
@@ -135,7 +137,7 @@ def legacy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     encoder = F.when(k % 13 == 0, "LAME3.100").otherwise("reference libFLAC")
     depth = F.when((F.col("depth") < 20) & (k % 4 == 0), 8).otherwise(24)
-    return features(spark, sf_dir).select("k", R.legacy_score(c, rate, energy, F.col("gap_ms"), encoder, depth).alias("score"))
+    return features(spark, sf_dir).select("k", R.legacy_score(F.col("cutoff"), F.col("rate"), F.col("energy"), F.col("gap_ms"), encoder, depth).alias("score"))
 
 
 @query(f"WITH {FEATURES_SQL} SELECT k, {KBPS_SQL} AS kbps FROM f")
@@ -146,21 +148,21 @@ def signature_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FEATURES_SQL} SELECT k, {THRESHOLD_SQL} AS threshold FROM f")
 def cutoff_threshold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select("k", R.cutoff_threshold(rate).alias("threshold"))
+    return features(spark, sf_dir).select("k", R.cutoff_threshold(F.col("rate")).alias("threshold"))
 
 
 @query(f"WITH {FEATURES_SQL} SELECT k, CASE WHEN k % 10 > 0 THEN round((k * 1000) * 8 / ((k % 10) * 1000.0::DOUBLE), 6) ELSE 0.0::DOUBLE END AS real_kbps, CAST(trunc(rate * depth * 2 / 1000.0::DOUBLE) AS INTEGER) AS apparent_kbps, 0.0::DOUBLE AS spread FROM f")
 def bitrates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
-    return features(spark, sf_dir).select("k", F.round(R.real_bitrate(k * 1000, (k % 10).cast("double")), 6).alias("real_kbps"), R.apparent_bitrate(rate, F.col("depth"), F.lit(2)).alias("apparent_kbps"), F.lit(0.0).alias("spread"))
+    return features(spark, sf_dir).select("k", F.round(R.real_bitrate(k * 1000, (k % 10).cast("double")), 6).alias("real_kbps"), R.apparent_bitrate(F.col("rate"), F.col("depth"), F.lit(2)).alias("apparent_kbps"), F.lit(0.0).alias("spread"))
 
 
 @query(f"""WITH {FEATURES_SQL}, g AS (SELECT k, rate, abs(CAST(trunc((k % 300 + 0.5::DOUBLE) * rate) AS BIGINT) - CAST(trunc((k % 300 + 0.5::DOUBLE + gap_ms / 50000) * rate) AS BIGINT)) AS gap FROM f)
 SELECT k, gap, gap > 588 AS mismatch, round(gap / rate * 1000.0::DOUBLE, 6) AS gap_ms FROM g""")
 def duration_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = F.col("k") % 300 + F.lit(0.5)
-    gap = R.duration_gap(meta, meta + F.col("gap_ms") / 50000, rate)
-    return features(spark, sf_dir).select("k", gap.alias("gap"), (gap > K.DURATION_TOLERANCE).alias("mismatch"), F.round(gap / rate * 1000, 6).alias("gap_ms"))
+    gap = R.duration_gap(meta, meta + F.col("gap_ms") / 50000, F.col("rate"))
+    return features(spark, sf_dir).select("k", gap.alias("gap"), (gap > K.DURATION_TOLERANCE).alias("mismatch"), F.round(gap / F.col("rate") * 1000, 6).alias("gap_ms"))
 
 
 @query("""SELECT p_partkey AS k, coalesce(TRY_CAST(CASE WHEN p_partkey % 3 = 0 THEN 'N/A' WHEN p_partkey % 3 = 1 THEN '48000' END AS INTEGER), 44100) AS rate,
