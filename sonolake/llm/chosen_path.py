@@ -44,7 +44,7 @@ TREES = 8
 SECOND = 0.5
 SMALL = 2000
 FEW = 256
-BLOCK = 512
+BLOCK = 64
 DEPTH = 6
 WIDTH = 512
 #: Common values that a pair needs to be confirmed: 4.5 standard deviations below what a similarity of 0.75 gives.
