@@ -15,7 +15,8 @@ count, and only pairs between components: all of them in small nodes; in a large
 others, the others against all, in blocks; any other large node branches again, and at DEPTH is compared in blocks.
 So no pair is dropped, and a group of thousands of near copies never has all its pairs confirmed.
 
-A sketch of WIDTH minwise values rules out pairs that are far from similar enough; all others are confirmed on full sets.
+A sketch of WIDTH minwise values rules out pairs that are far from similar enough, and so do exact distances from a
+common hub, by the triangle inequality; all others are confirmed on full sets.
 
 Defined results: words are in bytes with A-Z in lower case; a text with fewer than five words has one shingle of all;
 a null text or one without words has none and is linked with nothing (component_id is its own id). Repeated rows have
@@ -149,26 +150,35 @@ def next_nodes(held: DataFrame) -> DataFrame:
     return held.select("node", "id", "sig").mapInArrow(run, "node long, id long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach PERCENT. texts: id, text (binary). Only the pairs' texts move."""
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, link (whether the full sets reach PERCENT) and distance (1 - similarity) of pairs. texts: id, text (binary).
+
+    One text a pair moves; the joins merge at every size, so that a key with many pairs can be split.
+    """
     one = materialise(pairs.select("a", "b").distinct(), "path-pairs")
-    mine = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    held = mine.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    mine = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    held = mine.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, last, kept = Shingler(), None, None
         for batch in batches:
-            a, b = [], []
-            for x, y, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            link, distance = [], []
+            for y, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 if y != last:
                     last, kept = y, shingles(text_b)
                 s = shingles(text_a)
                 both = len(np.intersect1d(s, kept, assume_unique=True))
-                if 100 * both >= PERCENT * (len(s) + len(kept) - both):
-                    a.append(x), b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                union = len(s) + len(kept) - both
+                link.append(100 * both >= PERCENT * union)
+                distance.append(1 - both / union)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link, pa.bool_()), pa.array(distance, pa.float64())], ["a", "b", "link", "distance"])
+
+    return materialise(held.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, link boolean, distance double"), "path-compared")
 
-    return materialise(held.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "path-links")
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach PERCENT."""
+    return compared(pairs, texts).where("link").select("a", "b")
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -215,32 +225,39 @@ def nominate(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "id", "sig").repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long, near int, hub boolean")
 
 
+def apart(hub: np.ndarray, far: np.ndarray, other_hub: np.ndarray, other_far: np.ndarray) -> np.ndarray:
+    """Pairs that cannot reach PERCENT: Jaccard distance is a metric, so two members of a hub are at least the
+    difference of their distances from it apart. Members without a hub have their own id and distance 0."""
+    return (hub == other_hub) & (np.abs(far - other_far) > 1 - PERCENT / 100 + 1e-9)
+
+
 def exhaustive(rows: DataFrame) -> DataFrame:
-    """a, b: likely pairs of different components in each small node. rows: node, id, comp, sig, nodes.
+    """a, b: likely pairs of different components in each small node. rows: node, id, comp, sig, nodes, hub, far.
 
     A pair that shares several of the trees' first nodes comes from the first of them only.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches):
             ids, comp, sig = t.column("id").to_numpy(), t.column("comp").to_numpy(), read_signatures(t.column("sig"))
-            first = np.array(t.column("nodes").to_pylist())
+            first, hub, far = np.array(t.column("nodes").to_pylist()), t.column("hub").to_numpy(), t.column("far").to_numpy()
             here = first[0] == t.column("node")[0].as_py()
             before = first[:, : int(here.argmax())] if here.any() else first[:, :0]
             for i in range(len(ids) - 1):
                 other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+                other = other[~apart(hub[other], far[other], hub[i], far[i])]
                 other = other[(sig[other] == sig[i]).sum(1) >= ROUGH]
                 other = other[~(before[other] == before[i]).any(1)]
                 if len(other):
                     x = np.full(len(other), ids[i])
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, ids[other])), pa.array(np.minimum(x, ids[other]))], ["a", "b"])
 
-    return rows.select("node", "id", "comp", "sig", "nodes").repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long")
+    return rows.select("node", "id", "comp", "sig", "nodes", "hub", "far").repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long")
 
 
 def blocks(rows: DataFrame, name: str) -> DataFrame:
-    """node and blocks of at most about BLOCK of its rows, as arrays of id, comp, sig. rows also has n, the node's size."""
+    """node and blocks of at most about BLOCK of its rows, as arrays of id, comp, sig, hub, far. rows also has n, the node's size."""
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).alias("part")
-    return rows.groupBy("node", part).agg(F.collect_list(F.struct("id", "comp", "sig")).alias(name)).drop("part")
+    return rows.groupBy("node", part).agg(F.collect_list(F.struct("id", "comp", "sig", "hub", "far")).alias(name)).drop("part")
 
 
 def block_pairs(all_blocks: DataFrame, other_blocks: DataFrame) -> DataFrame:
@@ -248,9 +265,9 @@ def block_pairs(all_blocks: DataFrame, other_blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for mine, theirs in zip(b.column(0), b.column(1), strict=True):
-                (ids, comp, sig), (ids2, comp2, sig2) = ((x.values.field("id").to_numpy(), x.values.field("comp").to_numpy(), read_signatures(x.values.field("sig"))) for x in (mine, theirs))
+                (ids, comp, hub, far, sig), (ids2, comp2, hub2, far2, sig2) = ((*(x.values.field(c).to_numpy() for c in ("id", "comp", "hub", "far")), read_signatures(x.values.field("sig"))) for x in (mine, theirs))
                 for i in range(len(ids2)):
-                    keep = ((sig == sig2[i]).sum(1) >= ROUGH) & (comp != comp2[i])
+                    keep = ((sig == sig2[i]).sum(1) >= ROUGH) & (comp != comp2[i]) & ~apart(hub, far, hub2[i], far2[i])
                     if keep.any():
                         x = np.full(int(keep.sum()), ids2[i])
                         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, ids[keep])), pa.array(np.minimum(x, ids[keep]))], ["a", "b"])
@@ -271,11 +288,15 @@ def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], small
     texts = materialise(signed(texts_of(some.select("id")).join(some, "id")), "path-texts")
     sigs = texts.select("id", "sig", "nodes")
 
-    near = nominate(held.where(F.col("n") <= small).join(sigs, "id"))
-    best = near.groupBy("a", "hub").agg(F.max(F.struct("near", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    star = held.where((F.col("n") > small) & (F.col("id") > F.col("least"))).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    both = best.unionAll(star).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    label = components(confirmed(both, texts))
+    near = nominate(held.where(F.col("n") <= small).join(sigs.hint("merge"), "id"))
+    best = near.groupBy("a", "hub").agg(F.max(F.struct("near", "b")).alias("m")).select("a", "hub", F.col("m.b").alias("b"))
+    star = held.where((F.col("n") > small) & (F.col("id") > F.col("least"))).groupBy("id").agg(F.min("least").alias("b")).select(F.col("id").alias("a"), F.lit(True).alias("hub"), "b")
+    both = materialise(best.unionAll(star), "path-nominated")
+    seen = compared(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), texts)
+    label = components(seen.where("link"))
+    ways = seen.select("a", "b", "distance").unionAll(seen.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    hubs = both.where("hub").groupBy("a").agg(F.min("b").alias("b")).join(ways, ["a", "b"]).groupBy("a", "b").agg(F.min("distance").alias("far")).select(F.col("a").alias("id"), F.col("b").alias("hub"), "far")
+    hubs = materialise(hubs, "path-hubs")
     now = held.select("node", "id", "n")
     for level in range(1, depth + 1):
         comps = materialise(now.join(label, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("comp")), "path-comps")
@@ -283,7 +304,8 @@ def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], small
         rows = materialise(comps.join(mixed, "node"), "path-mixed")
         if rows.isEmpty():
             break
-        pairs = exhaustive(rows.where(F.col("n") <= small).join(sigs, "id"))
+        rows = rows.join(hubs, "id", "left").withColumns({"hub": F.coalesce("hub", "id"), "far": F.coalesce("far", F.lit(0.0))})
+        pairs = exhaustive(rows.where(F.col("n") <= small).join(sigs.hint("merge"), "id"))
         large = rows.where(F.col("n") > small)
         deeper = large.isEmpty()
         if not deeper:
@@ -291,7 +313,7 @@ def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], small
             main = materialise(main.select("node", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.k")).alias("others")), "path-main")
             done = main.where(F.col("others") <= few) if level < depth else main
             mine = large.join(done.select("node"), "node", "left_semi").join(sigs.select("id", "sig"), "id")
-            theirs = mine.join(done, "node").where("comp <> main").select("node", "id", "comp", "sig", F.col("others").alias("n"))
+            theirs = mine.join(done, "node").where("comp <> main").select("node", "id", "comp", "sig", "hub", "far", F.col("others").alias("n"))
             pairs = pairs.unionAll(block_pairs(blocks(mine, "mine"), blocks(theirs, "theirs")))
         label = extended(label, confirmed(pairs, texts))
         if deeper or level == depth:
