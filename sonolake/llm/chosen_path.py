@@ -43,13 +43,16 @@ PERCENT = 75
 TREES = 8
 #: The second token is chosen in this share of nodes.
 SECOND = 0.5
-SMALL = 2000
+SMALL = 6000
 FEW = 256
 BLOCK = 64
 DEPTH = 6
 WIDTH = 512
 #: Common values that a pair needs to be confirmed: 4.5 standard deviations below what a similarity of 0.75 gives.
 ROUGH = int(0.75 * WIDTH - 4.5 * math.sqrt(WIDTH * 0.75 * 0.25))
+#: Nearest members and hubs are named from the sketch's first values alone; that many of them must be common.
+LIGHT = 64
+LIGHT_ROUGH = int(0.55 * LIGHT)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 SALTS = np.array([1, 2], np.uint64) * GOLD
 _random = np.random.default_rng(20)
@@ -130,8 +133,8 @@ def signed(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text", "nodes").mapInArrow(run, "id long, text binary, nodes array<long>, sig binary")
 
 
-def read_signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH)
+def read_signatures(column: pa.Array, width: int = WIDTH) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
 def next_nodes(held: DataFrame) -> DataFrame:
@@ -205,7 +208,7 @@ def nominate(nodes: DataFrame) -> DataFrame:
     """a, b, near, hub: every member's nearest other and its node's hub. nodes: node, id, sig; small ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches):
-            ids, sig = t.column("id").to_numpy(), read_signatures(t.column("sig"))
+            ids, sig = t.column("id").to_numpy(), read_signatures(t.column("sig"), LIGHT)
             n = len(ids)
             near, other, degree, to_hub = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), None
             for i in range(n):
@@ -213,16 +216,16 @@ def nominate(nodes: DataFrame) -> DataFrame:
                 c[i] = -1
                 other[i] = c.argmax()
                 near[i] = c[other[i]]
-                degree[i] = (c >= 0.75 * WIDTH).sum()
+                degree[i] = (c >= 0.75 * LIGHT).sum()
                 if to_hub is None or degree[i] > degree[to_hub[0]]:
                     to_hub = i, c
             hub, c = to_hub
             a, b = np.concatenate([ids, ids]), np.concatenate([ids[other], np.full(n, ids[hub])])
             value, is_hub = np.concatenate([near, c]), np.repeat([False, True], n)
-            keep = (value >= ROUGH) & (a != b)
+            keep = (value >= LIGHT_ROUGH) & (a != b)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(value[keep], pa.int32()), pa.array(is_hub[keep])], ["a", "b", "near", "hub"])
 
-    return nodes.select("node", "id", "sig").repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long, near int, hub boolean")
+    return nodes.select("node", "id", F.substring("sig", 1, LIGHT).alias("sig")).repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long, near int, hub boolean")
 
 
 def apart(hub: np.ndarray, far: np.ndarray, other_hub: np.ndarray, other_far: np.ndarray) -> np.ndarray:
@@ -332,7 +335,7 @@ def near_duplicates(docs: DataFrame, small: int = SMALL, few: int = FEW, depth:
     members = sketch.join(same, ["set_hi", "set_lo"]).where("doc_id = id").select("id", "nodes").dropDuplicates(["id"])
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        return docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text")).join(ids, "id").dropDuplicates(["id"])
+        return docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text")).join(ids.hint("merge"), "id").dropDuplicates(["id"])
 
     label = linked(materialise(members, "path-members"), texts_of, small, few, depth)
     named = sketch.select("doc_id", "n_shingles", "set_hi", "set_lo").join(same, ["set_hi", "set_lo"], "left").join(label, "id", "left")
