@@ -20,7 +20,8 @@ common hub, by the triangle inequality; all others are confirmed on full sets.
 
 Defined results: words are in bytes with A-Z in lower case; a text with fewer than five words has one shingle of all;
 a null text or one without words has none and is linked with nothing (component_id is its own id). Repeated rows have
-the same result; a null doc_id has a null component and is not kept. An empty table gives no rows; extra columns are
+the same result, and of different texts under one doc_id one is followed; a null doc_id takes the component of an equal set,
+or null, and is not kept. An empty table gives no rows; extra columns are
 not read.
 """
 
