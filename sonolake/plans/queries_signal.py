@@ -138,7 +138,7 @@ def corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FEATURES_SQL}, g AS (SELECT k, rate, CAST(k % 400 AS DOUBLE) AS d FROM f WHERE k % 10 = 0), n AS (SELECT *, CASE WHEN d > 90 THEN 3 ELSE 1 END AS n FROM g), x AS (SELECT k, rate, d, n, CAST(unnest(range(n)) AS INTEGER) AS seg FROM n), y AS (SELECT *, least(30.0::DOUBLE, d / n) AS len FROM x)
 SELECT k, seg, CAST(trunc(greatest(0, d / (n + 1) * (seg + 1) - len / 2) * rate) AS BIGINT) AS start, CAST(trunc(len * rate) AS BIGINT) AS frames FROM y""")
 def segment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = features(spark, sf_dir).where("k % 10 = 0").select("k", "rate", (F.col("k") % 400).cast("double").alias("duration"))
+    files = features(spark, sf_dir).select("k", "rate", (F.col("k") % 400).cast("double").alias("duration"))
     return segments.spectrum_plan(files).select("k", "seg", "start", "frames")
 
 
