@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SEEDS = 4
-#: Hexadecimal digits of a line's MD5 that cut: one in four.
-RESIDUES = ["0", "4", "8", "c"]
+#: As many as an MD5 has digits for, two a seed.
+SEEDS = 16
+#: Hexadecimal digits of a line's MD5 that cut: seven in sixteen, so that a short passage has cuts at its rims.
+RESIDUES = ["0", "2", "4", "6", "8", "a", "c"]
 LEAST_LINES = 2
 
 

@@ -114,6 +114,17 @@ def test_repeated_passages_go_wherever_they_stand(spark):
     assert all(cases.words(i, 30) in got[i].text and cases.words(i + 200, 30) in got[i].text for i in range(20))
 
 
+@pytest.mark.parametrize("lines, least", [(2, 60), (3, 76)])
+def test_short_passages_seldom_fall_between_cuttings(spark, lines, least):
+    """80 passages in two documents each, between lines of their own."""
+    passage = lambda p: "\n".join(cases.words(f"p{lines} {p} {i}", 30) for i in range(lines))
+    around = lambda d, side: "\n".join(cases.words(f"{side}{lines} {d} {i}", 12) for i in range(3))
+    docs = [(d, "\n".join([around(d, "before"), passage(d % 80), around(d, "after")])) for d in range(160)]
+    got = {r.doc_id: r for r in line_chunks.remove(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[d].removed_lines == 0 for d in range(80)) and all(around(d, s) in got[d].text for d in got for s in ("before", "after"))
+    assert sum(got[d].removed_lines > 0 for d in range(80, 160)) >= least
+
+
 def leaky(spark):
     item, short = cases.words(70, 40), "just seven words are in this item"
     items = spark.createDataFrame([(1, item), (2, short), (3, "too short"), (4, None), (5, ""), (1, item)], "item_id long, text string")
