@@ -238,7 +238,8 @@ def apart(hub: np.ndarray, far: np.ndarray, other_hub: np.ndarray, other_far: np
 def exhaustive(rows: DataFrame) -> DataFrame:
     """a, b: likely pairs of different components in each small node. rows: node, id, comp, sig, nodes, hub, far.
 
-    A pair that shares several of the trees' first nodes comes from the first of them only.
+    A pair that shares several of the trees' small first nodes comes from the first of them only; large ones are masked
+    in nodes, as a pair that shares them may not meet there.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches):
@@ -288,7 +289,9 @@ def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], small
     nodes = members.select("id", F.explode("nodes").alias("node"))
     shared = materialise(nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"), "path-shared")
     held = materialise(nodes.join(shared, "node"), "path-nodes")
-    some = members.join(held.select("id").distinct(), "id", "left_semi")
+    large_of = held.groupBy("id").agg(F.collect_set(F.when(F.col("n") > small, F.col("node"))).alias("large"))
+    masked = F.transform("nodes", lambda x, i: F.when(F.array_contains("large", x), F.xxhash64("id", i)).otherwise(x))
+    some = members.join(large_of, "id").select("id", masked.alias("nodes"))
     texts = materialise(signed(texts_of(some.select("id")).join(some, "id")), "path-texts")
     sigs = texts.select("id", "sig", "nodes")
 

@@ -62,6 +62,26 @@ def test_near_duplicates(spark, crowd, small, few, depth):
     assert got == brute(crowd)
 
 
+def test_pairs_of_a_large_node_meet_in_small_ones(spark):
+    """Texts x and y are alike, each with a nearer copy, and share first a large node, then a small one with a hub of its own."""
+    rows, nodes = [], []
+
+    def changed(w, *at):
+        return [f"changed{i}" if i in at else x for i, x in enumerate(w)]
+
+    for f in range(20):
+        x, z = cases.words(f"x{f}", 200).split(), cases.words(f"z{f}", 200).split()
+        y = changed(x, 20, 60, 100, 140, 180)
+        for w in (x, changed(x, 40), y, changed(y, 160), *(changed(z, 10 + 20 * i) for i in range(4))):
+            nodes.append((len(rows), [-1, 1000 + f]))
+            rows.append((len(rows), " ".join(w)))
+    texts = spark.createDataFrame(rows, "id long, text string").withColumn("text", F.col("text").cast("binary"))
+    members = spark.createDataFrame(nodes, "id long, nodes array<long>")
+    label = chosen_path.linked(members, lambda ids: texts.join(ids, "id"), small=8, few=2)
+    got = {r.id: r.component for r in label.collect()}
+    assert {i: got.get(i, i) for i, _ in rows} == {i: root for i, (_, root) in brute(rows).items()}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = chosen_path.near_duplicates(cases.documents(spark)).collect()
     assert len(got) == len(cases.rows())
