@@ -91,7 +91,7 @@ def temporaries(spark: SparkSession) -> Iterator[list[str]]:
     try:
         yield made
     finally:
-        _OPEN.remove(made)
+        _OPEN.pop()
         for path in made:
             remove_folder(spark, path)
 
