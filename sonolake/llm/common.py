@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialise, release, scratch_path, scratch_root, ship_code
 
-__all__ = ["fold", "materialise", "ready", "release", "rows_of", "scratch_path", "scratch_root", "table", "text_bytes", "words_of"]
+__all__ = ["fold", "materialise", "ready", "release", "repeated", "salt", "scratch_path", "scratch_root", "table", "text_bytes", "unused", "words_of"]
 
 #: Rows of an Arrow batch. Texts can be long, so a batch stays far below Spark's default of 10,000.
 BATCH_ROWS = 1000
+#: Cells that the rows of one key are dealt to.
+SALTS = 64
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -43,16 +41,29 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-def rows_of(f: Callable[..., tuple], schema: pa.Schema, *columns: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function that makes one row of each input row: f gets the named columns' values."""
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column (in any case) has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [f(*values) for values in zip(*(b.column(c).to_pylist() for c in columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=t.type) for i, t in enumerate(schema)], schema=schema)
+def salt(n: Column | int, *by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), n if isinstance(n, Column) else F.lit(n))
 
-    return apply
 
+def repeated(rows: DataFrame, keys: list[str], by: list[str], least: str | None = None) -> DataFrame:
+    """The rows whose keys (never null) occur more than once, with n (how often) and, if asked for, the least value of a column as least.
 
-def from_numpy(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[t.name], type=t.type, from_pandas=isinstance(columns[t.name], np.ndarray) and columns[t.name].dtype.kind == "O") for t in schema], schema=schema)
+    Rows are counted in cells of keys and a salt made of `by`; the at most SALTS cells of equal keys then meet, and what they
+    have together goes back by cell. So one key's rows never meet in one task. No column may be called n, least or salt.
+    """
+    salted = rows.withColumn("salt", salt(SALTS, *by))
+    cells = salted.groupBy(*keys, "salt").agg(F.count("*").alias("n"), *([F.min(least).alias("least")] if least else []))
+    same = Window.partitionBy(*keys)
+    known = cells.select(*keys, "salt", F.sum("n").over(same).alias("n"), *([F.min("least").over(same).alias("least")] if least else [])).where("n > 1")
+    return salted.join(known.hint("merge"), [*keys, "salt"]).drop("salt")

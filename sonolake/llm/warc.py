@@ -9,7 +9,8 @@ Paths are URIs of a folder that all executors reach (pyarrow.fs: file, hdfs, s3,
 
 Defined results: a null html is an empty payload and takes part in deduplication like any other; rows with
 the smallest page_id of their payload are responses, so repeated rows of that id all are; a null page_id
-counts as larger than any other, and is a response only if its payload has no other id. URLs keep no control
+counts as larger than any other, and is a response only if its payload has no other id. Empty files (zero bytes or zeros only
+after the last member) have no records; a truncated archive raises ValueError. URLs keep no control
 characters. An empty table gives no archives and no rows. Extra columns are not read.
 """
 
@@ -29,10 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, ready, scratch_path
+from ..runtime import qualified, remove_folder
+from .common import SALTS, materialise, ready, repeated, salt, scratch_path
 
 CHUNK = 1 << 20
-SPLIT = 16 << 20
+#: Compressed bytes after which a task begins another archive.
+ARCHIVE_BYTES = 1 << 30
+#: Compressed bytes that a task reads back.
+SPLIT = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "archive string, offset long, length long, page_id long, record_type string"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, archive string, offset long, length long"
@@ -64,17 +69,27 @@ def header_fields(head: bytes) -> dict[str, str]:
 
 
 def inflate(source, chunk: int = CHUNK) -> Iterator[bytes]:
-    """The inflated bytes of a gzip file of one or more members, read once and piece by piece."""
-    z = zlib.decompressobj(31)
+    """The inflated bytes of a gzip file of one or more members, read once and piece by piece.
+
+    Zeros between and after members are padding. Other bytes there, and a file that ends inside a member, raise ValueError.
+    """
+    z, first = None, True
     while raw := source.read(chunk):
         while raw:
-            yield z.decompress(raw, chunk)
-            while z.unconsumed_tail:
-                yield z.decompress(z.unconsumed_tail, chunk)
-            raw = z.unused_data if z.eof else b""
-            if z.eof:
-                z = zlib.decompressobj(31)
-    yield z.flush()
+            if z is None:
+                raw = raw if first else raw.lstrip(b"\0")
+                if not raw:
+                    break
+                z, first = zlib.decompressobj(31), False
+            try:
+                yield z.decompress(raw, chunk)
+            except zlib.error as e:
+                raise ValueError(f"no gzip member: {e}") from e
+            raw, z = (z.unused_data, None) if z.eof else (z.unconsumed_tail, z)
+    if z is not None:
+        yield z.flush()
+        if not z.eof:
+            raise ValueError("an archive ends inside a gzip member")
 
 
 def cut_records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -105,41 +120,57 @@ def place(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_monolithic(pages: DataFrame, out_dir: str, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
-    """Writes one whole-file gzip stream a partition; returns the archives written (archive, n_records).
+def write_monolithic(pages: DataFrame, out_dir: str, date: str = "2020-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes whole-file gzip streams of about archive_bytes, one at least a partition that has rows; returns the archives written (archive, n_records).
 
-    pages: page_id, url, html; payloads that occur more than once are written once, as a response.
+    pages: page_id, url, html; payloads that occur more than once are written once, as a response. Payloads are dealt by
+    digest and salt, so that a payload that many pages share does not meet in one task.
     """
     ready(pages.sparkSession)
     payload = F.coalesce("html", F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
-    first = materialise(own.groupBy("digest").agg(F.min("page_id").alias("first")), "warc-first")
-    rows = own.join(first, "digest").select("page_id", "url", "payload", "digest", "first")
+    named = own.select("page_id", "digest")
+    cells = materialise(repeated(named, ["digest"], ["page_id"], least="page_id").select("digest", salt(SALTS, "page_id").alias("salt"), "least").distinct(), "warc-first")
+    met = own.withColumn("salt", salt(SALTS, "page_id")).join(cells.withColumn("twice", F.lit(True)).hint("merge"), ["digest", "salt"], "left")
+    rows = met.select("page_id", "url", "payload", "digest", F.when(F.col("twice"), F.col("least")).otherwise(F.col("page_id")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, count = f"part-{TaskContext.get().partitionId():06d}.warc.gz", 0
         files, folder = place(out_dir)
         files.create_dir(folder, recursive=True)
-        temp = f"{folder}/{name}.{uuid.uuid4().hex}.tmp"
-        z = zlib.compressobj(6, zlib.DEFLATED, 31)
-        with files.open_output_stream(temp, compression=None) as out:
-            for b in batches:
-                for page_id, url, body, digest, least in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    out.write(z.compress(build_record(page_id, url, body, digest, None if page_id == least else least, date)))
-                    count += 1
+        part, number, names, counts, out = TaskContext.get().partitionId(), 0, [], [], None
+
+        def close() -> None:
             out.write(z.flush())
-        if count:
-            files.move(temp, f"{folder}/{name}")
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], ["archive", "n_records"])
-        else:
-            files.delete_file(temp)
+            out.close()
+            files.move(temp, f"{folder}/{names[-1]}")
+
+        for b in batches:
+            for page_id, url, body, digest, least in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if out is None:
+                    names.append(f"part-{part:06d}-{number:05d}.warc.gz")
+                    temp = f"{folder}/{names[-1]}.{uuid.uuid4().hex}.tmp"
+                    z, out, size, number = zlib.compressobj(6, zlib.DEFLATED, 31), files.open_output_stream(temp, compression=None), 0, number + 1
+                    counts.append(0)
+                piece = z.compress(build_record(page_id, url, body, digest, None if page_id == least else least, date))
+                out.write(piece)
+                size += len(piece)
+                counts[-1] += 1
+                if size >= archive_bytes:
+                    close()
+                    out = None
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["archive", "n_records"])
 
     return materialise(rows.mapInArrow(run, "archive string, n_records long"), "warc-written")
 
 
 def normalise(archives: DataFrame, in_dir: str, out_dir: str) -> DataFrame:
     """Rewrites each archive (column archive, a name in in_dir) with one gzip member a record, and writes its
-    sidecar `<archive>.index.json`, a JSON line of INDEX's fields for each member. Returns archive, n_records."""
+    sidecar `<archive>.index.json`, a JSON line of INDEX's fields for each member. Returns archive, n_records.
+
+    There are as many tasks as archives: names are dealt by ranges, and a number of partitions that is asked for is never reduced.
+    """
     ready(archives.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +193,9 @@ def normalise(archives: DataFrame, in_dir: str, out_dir: str) -> DataFrame:
                 files.move(side, f"{folder}/{name}.index.json")
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], ["archive", "n_records"])
 
-    return materialise(archives.select("archive").repartition("archive").mapInArrow(run, "archive string, n_records long"), "warc-normalised")
+    names = archives.select("archive").distinct()
+    dealt = names.repartitionByRange(max(1, names.count()), "archive")
+    return materialise(dealt.mapInArrow(run, "archive string, n_records long"), "warc-normalised")
 
 
 def read_index(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -170,7 +203,10 @@ def read_index(spark: SparkSession, out_dir: str) -> DataFrame:
 
 
 def read_records(index: DataFrame, out_dir: str, payloads: bool = False) -> DataFrame:
-    """Reads each indexed member alone and checks the digest of what it holds. payloads adds the column payload (null for revisits)."""
+    """Reads each indexed member alone and checks the digest of what it holds. payloads adds the column payload (null for revisits).
+
+    Tasks get ranges of archive and offset, about SPLIT bytes each.
+    """
     ready(index.sparkSession)
     schema = READ + ", payload binary" * payloads
 
@@ -201,18 +237,19 @@ def read_records(index: DataFrame, out_dir: str, payloads: bool = False) -> Data
         if f:
             f.close()
 
-    spread = index.select("archive", "offset", "length", F.floor(F.col("offset") / SPLIT).alias("part")).repartition("archive", "part").sortWithinPartitions("archive", "offset").drop("part")
-    return spread.mapInArrow(run, schema)
+    wanted = index.select("archive", "offset", "length")
+    size = wanted.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.countDistinct("archive").alias("n")).first()
+    parts = max(size.bytes // SPLIT + 1, min(size.n, wanted.sparkSession.sparkContext.defaultParallelism))
+    return wanted.repartitionByRange(parts, "archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, out_dir: str | None = None, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
     """Writes pages as monolithic archives, normalises them, and reads the result back through the index."""
     spark = pages.sparkSession
-    base = out_dir or scratch_path(spark, "warc")
+    base = qualified(spark, out_dir) if out_dir else scratch_path(spark, "warc")
     written = write_monolithic(pages, f"{base}/monolithic", date)
     done = normalise(written, f"{base}/monolithic", f"{base}/members")
     if done.isEmpty():
         return spark.createDataFrame([], READ)
-    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/monolithic")
-    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    remove_folder(spark, f"{base}/monolithic")
     return read_records(read_index(spark, f"{base}/members"), f"{base}/members")

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import random
 
 import pytest
 
@@ -51,5 +52,26 @@ def test_streams_are_cut_anywhere():
         list(warc.cut_records(iter([records[0][:-10]])))
 
 
+def test_large_members_padding_and_truncation():
+    """Members longer than the production chunk, each of which inflates to several; zeros as padding; every kind of broken end."""
+    bodies = [random.Random(i).randbytes(1_500_000) + b"<p>html</p>" * 300_000 for i in range(4)]
+    members = [gzip.compress(b, 1) for b in bodies]
+    assert b"".join(warc.inflate(io.BytesIO(b"".join(members)))) == b"".join(bodies)
+    assert b"".join(warc.inflate(io.BytesIO(members[0] + b"\0" * 70 + members[1] + b"\0" * 3_000_000), 1 << 16)) == bodies[0] + bodies[1]
+    for broken in (members[0][:-1], members[0] + members[1][:5], members[0] + b"junk", b"junk"):
+        with pytest.raises(ValueError):
+            list(warc.inflate(io.BytesIO(broken)))
+    assert not b"".join(warc.inflate(io.BytesIO(b"")))
+
+
+def test_archives_roll_and_tasks_spread(spark, pages, tmp_path):
+    written = warc.write_monolithic(pages.repartition(2), f"file://{tmp_path}/in", archive_bytes=1)
+    n = written.count()
+    assert n > 4 and sum(r.n_records for r in written.collect()) == pages.count()
+    done = warc.normalise(written, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    assert {r.archive: r.n_records for r in done.collect()} == {r.archive: r.n_records for r in written.collect()}
+    assert warc.read_records(warc.read_index(spark, f"file://{tmp_path}/out"), f"file://{tmp_path}/out").count() == pages.count()
+
+
 def test_empty(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
