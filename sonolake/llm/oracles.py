@@ -36,17 +36,17 @@ WHERE matched >= least({MIN_MATCH}, size) AND 4 * matched >= 3 * compared GROUP
 """
 
 
-def _op7() -> str:
-    from .line_chunks import LEAST_LINES, RESIDUES, SEEDS
-
-    digits = ", ".join(f"'{d}'" for d in RESIDUES)
-    cuts = " UNION ALL ".join(
-        f"SELECT doc_id, l, list_concat([0], list_filter(range(1, len(l)), lambda i: substr(h[i], {2 * s + 1}, 1) IN ({digits}) OR substr(h[i + 1], {2 * s + 2}, 1) IN ({digits})), [len(l)]) AS c FROM lines" for s in range(SEEDS)
-    )
-    return rf"""
-WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l, list_transform(string_split(text, chr(10)), lambda x: md5(x)) AS h FROM documents WHERE contains(text, chr(10))),
-cuts AS ({cuts}), r AS (SELECT DISTINCT doc_id, l, unnest(list_transform(range(1, len(c)), lambda i: [c[i], c[i + 1]])) AS r FROM cuts),
-body AS (SELECT doc_id, r[1] AS a, r[2] AS z, array_to_string(list_slice(l, r[1] + 1, r[2]), chr(10)) AS body FROM r WHERE r[2] - r[1] >= {LEAST_LINES}),
+OP7 = r"""
+WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE contains(text, chr(10))),
+hashed AS (SELECT doc_id, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 15) AS BIGINT)) AS h FROM lines),
+win AS (SELECT doc_id, pos, xor((2 * h[pos]) & 1152921504606846975, h[pos + 1]) AS key FROM (SELECT doc_id, h, unnest(range(1, len(h))) AS pos FROM hashed)),
+rep AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM win) WHERE n > 1),
+near AS (SELECT *, coalesce(lag(pos) OVER w = pos - 1, false) AS linked, lag(key) OVER w AS before, lag(n) OVER w AS n_before, coalesce(lead(pos) OVER w = pos + 1, false) AS followed, lead(key) OVER w AS after FROM rep WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+cut AS (SELECT doc_id, pos, -2 AS way, linked AS joined FROM near UNION ALL SELECT doc_id, pos, -1, linked AND n = n_before FROM near
+  UNION ALL SELECT doc_id, pos, s, linked FROM near, (SELECT unnest(range(10)) AS s) WHERE NOT (linked AND (before >> CAST(3 * s AS INTEGER)) & 7 < 3) AND NOT (followed AND (after >> CAST(3 * s + 30 AS INTEGER)) & 7 < 3)),
+runs AS (SELECT doc_id, way, pos, sum(CASE WHEN joined AND prev = pos - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, way ORDER BY pos) AS run FROM (SELECT *, lag(pos) OVER (PARTITION BY doc_id, way ORDER BY pos) AS prev FROM cut)),
+r AS (SELECT DISTINCT doc_id, a, z FROM (SELECT doc_id, min(pos) - 1 AS a, max(pos) + 1 AS z FROM runs GROUP BY doc_id, way, run)),
+body AS (SELECT doc_id, a, z, array_to_string(list_slice(l, a + 1, z), chr(10)) AS body FROM r JOIN lines USING (doc_id)),
 dup AS (SELECT doc_id, a, z FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS n FROM body WHERE regexp_matches(body, '[^\x20\x09-\x0D]')) WHERE n > 1),
 gone AS (SELECT doc_id, list_distinct(flatten(list(range(a, z)))) AS g, count(*) AS n FROM dup GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN g IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(len(string_split(text, chr(10)))), lambda i: NOT list_contains(g, i)), lambda i: string_split(text, chr(10))[i + 1]), chr(10)), '') END AS text,
@@ -66,4 +66,4 @@ c AS (SELECT v AS doc_id, min(r) AS component_id FROM reach GROUP BY v)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-ORACLES = {"op1_warc": OP1, "op2_decontaminate": _op2(), "op7_line_chunks": _op7(), "op9_chosen_path": OP9}
+ORACLES = {"op1_warc": OP1, "op2_decontaminate": _op2(), "op7_line_chunks": OP7, "op9_chosen_path": OP9}
