@@ -56,8 +56,9 @@ def salt(n: Column | int, *by: str) -> Column:
     return F.pmod(F.xxhash64(*by), n if isinstance(n, Column) else F.lit(n))
 
 
-def repeated(rows: DataFrame, keys: list[str], by: list[str], least: str | None = None) -> DataFrame:
-    """The rows whose keys (never null) occur more than once, with n (how often) and, if asked for, the least value of a column as least.
+def repeated(rows: DataFrame, keys: list[str], by: list[str], least: str | None = None, every: bool = False) -> DataFrame:
+    """The rows whose keys occur more than once, with n (how often) and, if asked for, the least value of a column as least.
+    With every, also all other rows, those with a null key among them; n and least are null there.
 
     Rows are counted in cells of keys and a salt made of `by`; the at most SALTS cells of equal keys then meet, and what they
     have together goes back by cell. So one key's rows never meet in one task. No column may be called n, least or salt.
@@ -66,4 +67,4 @@ def repeated(rows: DataFrame, keys: list[str], by: list[str], least: str | None
     cells = salted.groupBy(*keys, "salt").agg(F.count("*").alias("n"), *([F.min(least).alias("least")] if least else []))
     same = Window.partitionBy(*keys)
     known = cells.select(*keys, "salt", F.sum("n").over(same).alias("n"), *([F.min("least").over(same).alias("least")] if least else [])).where("n > 1")
-    return salted.join(known.hint("merge"), [*keys, "salt"]).drop("salt")
+    return salted.join(known.hint("merge"), [*keys, "salt"], "left" if every else "inner").drop("salt")

@@ -49,7 +49,7 @@ def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.near_duplicates(table(ready(spark), sf_dir, "documents"))
+    return chosen_path.near_duplicates(table(ready(spark), sf_dir, "documents")).drop("mark")
 
 
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
