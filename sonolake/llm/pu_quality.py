@@ -5,21 +5,25 @@ non-negative unbiased risk, where pi is the estimated share of positives among U
 
     pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])
 
-With the logistic loss, l(g) - l(-g) = -g, so the unbiased risk is convex and Newton steps minimise it. Where its
-minimum would make the second term negative, the model is too free for its rows: the ridge on the weights grows until
-the term at the minimum is not negative. U is every document that trains and has no label; gradients and curvatures are
-sums over all of them, made by the executors.
+plus a small ridge on the weights. With the logistic loss l(g) - l(-g) = -g, so what stands left of max is convex on either side of
+the clip: the risk is the larger of two convex functions, the unbiased risk A and the clipped one C (without the second
+term). Its minimum is found by its dual: minimise t A + (1 - t) C, smooth and convex, by Newton steps; the second term at that
+minimum falls with t, so t is 1 if it is not negative there, and otherwise the t at which it is 0, by bisection. U is
+every document that trains and has no label; gradients and curvatures are sums over all of them, made by the executors.
 
-pi is the share of quality 1 among the labelled rows that train, smoothed by one of each.
+pi is estimated from P and U alone: a first model tells P from U, and of all score thresholds that one counts whose share of U,
+with a margin for chance, divided by its share of P is least (a set that holds positives only has pi times its share of P in U).
+Negative labels are not used anywhere.
 
 Defined results: a null or empty text has the features of an empty text and gets a score like any other;
 several labels of a document count each; null labels, null ids and labels of unknown documents are left out;
-if nothing is unlabelled all training documents are U; if nothing is positive every score is the prior.
+if nothing is unlabelled all training documents are U; if nothing is positive every score is 0.5.
 Repeated rows count each. An empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +35,13 @@ from .common import fold, materialise, ready, text_bytes
 from .rule_stats import base_counts
 
 STEPS = 10
-#: Weights of the squared weights, tried in this order.
-RIDGES = [1e-4 * 4**k for k in range(9)]
+#: Weight of the squared weights.
+RIDGE = 1e-4
+#: Halvings of the dual's t.
+HALVINGS = 6
+#: Score bins of the prior's estimate, and the chance that its margin may fail with.
+BINS = 1000
+DELTA = 0.1
 MOST_STEP = 20.0
 CUT = 0.3
 #: Characters whose share is a feature each: ASCII punctuation; then the shares of letters, digits, capitals, other bytes, white space.
@@ -71,52 +80,108 @@ def softplus(z: np.ndarray) -> np.ndarray:
 
 
 def sums(rows: DataFrame, w: np.ndarray) -> np.ndarray:
-    """Over rows (x, positive boolean): for U count, loss of -g, gradient, curvature; for P count, losses of g and -g, sum of x.
+    """Over rows (x, positive boolean): for U count, loss of -g, its gradient, curvature; for P count, losses of g and -g, sum of x, gradient and curvature of the loss of -g.
 
     A task sends one row for each sum, so what meets in a place does not grow with the documents.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = WIDTH
-        total = np.zeros(2 + d + d * d + 3 + d)
+        u_sums, p_sums, counts = np.zeros(d + d * d), np.zeros(d + d + d * d), np.zeros(5)
         for b in batches:
             x, positive = matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
-            u, p = x[~positive], x[positive]
-            g = u @ w
-            s = 1 / (1 + np.exp(-g))
-            total[:2] += len(u), softplus(g).sum()
-            total[2 : 2 + d] += s @ u
-            total[2 + d : 2 + d + d * d] += ((u * (s * (1 - s))[:, None]).T @ u).ravel()
-            total[2 + d + d * d : 5 + d + d * d] += len(p), softplus(-(p @ w)).sum(), softplus(p @ w).sum()
-            total[5 + d + d * d :] += p.sum(0)
+            for rows_x, out, skip in ((x[~positive], u_sums, 0), (x[positive], p_sums, d)):
+                g = rows_x @ w
+                s = 1 / (1 + np.exp(-np.clip(g, -500, 500)))
+                out[skip : skip + d] += s @ rows_x
+                out[skip + d :] += ((rows_x * (s * (1 - s))[:, None]).T @ rows_x).ravel()
+                counts += (0, 0, len(g), softplus(-g).sum(), softplus(g).sum()) if skip else (len(g), softplus(g).sum(), 0, 0, 0)
+            p_sums[:d] += x[positive].sum(0)
+        total = np.concatenate([counts[:2], u_sums, counts[2:], p_sums])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["k", "v"])
 
     got = rows.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros(5 + 2 * WIDTH + WIDTH * WIDTH)
+    out = np.zeros(5 + 3 * WIDTH + 2 * WIDTH * WIDTH)
     out[got["k"].to_numpy()] = got["v"]
     return out
 
 
-def fit(rows: DataFrame, prior: float, steps: int = STEPS) -> np.ndarray | None:
-    """Weights, or None without positives or unlabelled rows. rows: x, positive; the others are unlabelled."""
-    d, w = WIDTH, np.zeros(WIDTH)
-    for ridge in RIDGES:
-        weight = np.full(d, ridge)
-        weight[-1] = 1e-8
-        for _ in range(steps):
-            s = sums(rows, w)
-            n_u, loss_u, grad_u, curve = s[0], s[1], s[2 : 2 + d], s[2 + d : 2 + d + d * d].reshape(d, d)
-            n_p, _, loss_np, sum_p = *s[2 + d + d * d : 5 + d + d * d], s[5 + d + d * d :]
-            if not n_p or not n_u:
-                return None
-            negative = loss_u / n_u - prior * loss_np / n_p
-            gradient = grad_u / n_u - prior * sum_p / n_p + weight * w
-            step = np.linalg.solve(curve / n_u + np.diag(weight + 1e-9), gradient)
-            if float(gradient @ step) < 1e-6:
-                break
-            w = w - step * min(1.0, MOST_STEP / max(1e-9, float(np.abs(step).max())))
-        if negative >= 0:
+def minimise(rows: DataFrame, prior: float, t: float, w: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float] | None:
+    """Weights that minimise t A + (1 - t) C plus the ridge, from w on, and the second term there; None without positives or unlabelled rows.
+
+    The mixture's gradient over U is t times that of A, and over P that of pi * l(g) less t times that of pi * l(-g).
+    """
+    d = WIDTH
+    weight = np.full(d, RIDGE)
+    weight[-1] = 1e-8
+    for _ in range(steps + 1):
+        s = sums(rows, w)
+        n_u, loss_u, grad_u, curve_u = s[0], s[1], s[2 : 2 + d], s[2 + d : 2 + d + d * d].reshape(d, d)
+        n_p, _, loss_np = s[2 + d + d * d : 5 + d + d * d]
+        sum_p, grad_p, curve_p = s[5 + d + d * d : 5 + 2 * d + d * d], s[5 + 2 * d + d * d : 5 + 3 * d + d * d], s[5 + 3 * d + d * d :].reshape(d, d)
+        if not n_p or not n_u:
+            return None
+        second = loss_u / n_u - prior * loss_np / n_p
+        # over P: l(g) has the gradient (sigmoid - 1) x, l(-g) the gradient sigmoid x
+        gradient = t * grad_u / n_u + prior * ((1 - t) * grad_p - sum_p) / n_p + weight * w
+        curve = t * curve_u / n_u + (1 - t) * prior * curve_p / n_p + np.diag(weight + 1e-9)
+        step = np.linalg.solve(curve, gradient)
+        if float(gradient @ step) < 1e-6:
             break
-    return w
+        w = w - step * min(1.0, MOST_STEP / max(1e-9, float(np.abs(step).max())))
+    else:
+        s = sums(rows, w)
+        second = s[1] / s[0] - prior * s[2 + d + d * d + 2] / s[2 + d + d * d]
+    return w, second
+
+
+def fit(rows: DataFrame, prior: float, steps: int = STEPS) -> np.ndarray | None:
+    """Weights of the least non-negative risk, or None without positives or unlabelled rows. rows: x, positive; the others are unlabelled."""
+    found = minimise(rows, prior, 1.0, np.zeros(WIDTH), steps)
+    if found is None or found[1] >= 0:
+        return found and found[0]
+    # the term is negative at high, and is not at low, where the weights are kept
+    (high_w, _), low, high = found, 0.0, 1.0
+    kept = None
+    for _ in range(HALVINGS):
+        t = (low + high) / 2
+        w, second = minimise(rows, prior, t, kept if kept is not None else high_w, steps)
+        if second >= 0:
+            low, kept = t, w
+        else:
+            high, high_w = t, w
+    return kept if kept is not None else minimise(rows, prior, low, high_w, steps)[0]
+
+
+def estimate_prior(rows: DataFrame) -> float:
+    """The share of positives among unlabelled rows. rows: x, positive."""
+    found = minimise(rows, 0.5, 1.0, np.zeros(WIDTH), 4)
+    if found is None:
+        return 0.5
+    shared = rows.sparkSession.sparkContext.broadcast(found[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * BINS, np.int64)
+        for b in batches:
+            g = 1 / (1 + np.exp(-np.clip(matrix(b.column(0)) @ shared.value, -500, 500)))
+            at = np.minimum((g * BINS).astype(np.int64), BINS - 1) + BINS * b.column(1).to_numpy(zero_copy_only=False)
+            total += np.bincount(at, minlength=2 * BINS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * BINS), pa.int32()), pa.array(total)], ["k", "n"])
+
+    got = rows.mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    count = np.zeros(2 * BINS)
+    count[got["k"].to_numpy()] = got["n"]
+    return prior_of(count[:BINS], count[BINS:])
+
+
+def prior_of(unlabelled: np.ndarray, positive: np.ndarray) -> float:
+    """The least bound over all thresholds, from counts by score bin."""
+    above_u, above_p = (np.cumsum(x[::-1]) for x in (unlabelled, positive))
+    margin = math.sqrt(math.log(4 / DELTA) / 2 / above_u[-1]) + math.sqrt(math.log(4 / DELTA) / 2 / above_p[-1])
+    some = above_p > 0
+    bound = (above_u[some] / above_u[-1] + margin) / (above_p[some] / above_p[-1])
+    best = int(bound.argmin())
+    share = above_u[some][best] / above_u[-1] / (above_p[some][best] / above_p[-1])
+    return float(np.clip(share, 0.01, 0.99))
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out_fold: tuple[int, int] = (5, 0)) -> DataFrame:
@@ -129,16 +194,15 @@ def classify(docs: DataFrame, labels: DataFrame, held_out_fold: tuple[int, int]
     trained = table.where(~held).join(marks, "doc_id", "left").select("x", "quality")
     rows = materialise(trained.select("x", "quality"), "pu-rows")
     n = {r.quality: r.n for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    prior = (n.get(1, 0) + 1) / (n.get(1, 0) + n.get(0, 0) + 2)
     tagged = rows.where("quality is null or quality = 1").select("x", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("positive"))
     if not n.get(None):
         tagged = rows.where("quality = 1").select("x", F.lit(True).alias("positive")).unionAll(rows.select("x", F.lit(False).alias("positive")))
-    w = fit(tagged, prior) if n else None
+    w = fit(tagged, estimate_prior(tagged)) if n.get(1) else None
     shared = spark.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = np.full(b.num_rows, prior) if shared.value is None else 1 / (1 + np.exp(-np.clip(matrix(b.column(1)) @ shared.value, -500, 500)))
+            score = np.full(b.num_rows, 0.5) if shared.value is None else 1 / (1 + np.exp(-np.clip(matrix(b.column(1)) @ shared.value, -500, 500)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= CUT).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return table.mapInArrow(run, "doc_id long, score double, predicted int").select("doc_id", held.alias("held_out"), "score", "predicted")
