@@ -5,21 +5,15 @@ pieces, found by the forward recursion in log space:
 
     alpha[j] = logsumexp over pieces p that end at j of alpha[j - len(p)] + log P(p)
 
-A text is its words and an end. The vocabulary's own scores order its pieces; from that order the weights
-start, and a fixed number of forward-backward passes over the distinct training words fit them. Single bytes are
-always pieces, so that every word has a probability.
+A text is its words and an end, which is drawn like a piece. The vocabulary's own scores give the pieces' weights (see
+piece_weights); they are the mean of a Dirichlet prior of PRIOR pseudo-counts, and a fixed number of forward-backward passes over
+the training words, each as often as it occurs, add what the corpus says. No word of the corpus becomes a piece: every word,
+known or not, gets its probability from its segmentations alone. Single bytes are always pieces, so that every word has one.
 
-A training word is one more edge, from the word's start to its end: it keeps its training count less a discount D,
-and what all discounts make free is the weight of the paths through subword pieces:
-
-    P(word) = (c - D) / N + D V / N * exp(alpha[end]),    D = n1 / (n1 + 2 n2)
-
-with n1 and n2 the numbers of words seen once and twice. So the paths through pieces need to explain what is
-rare or new, which is why distinct words fit them, each with the same weight.
-
-Words, not texts, meet in a shuffle: each task gathers its texts into blocks and sends for each distinct
-word of a block one row with the list of texts that hold it. A word's count and its marginal probability
-are found once in the corpus, go back to the blocks, and each block sums up its texts.
+Words, not texts, meet in a shuffle: each task gathers its texts into blocks and sends one short row for each distinct
+word of a block. A word's count and its marginal probability are found once in the corpus and go back by block; the
+lists of which text holds which word stay in one row a block, and each block sums up its texts. The end is a token of every
+text, so it needs no row.
 
 Defined results: a null or empty text has the end as its only token; a null id is never learned from unless its
 remainder says so (it counts as the empty text); repeated rows count each; without training rows N and V
@@ -33,18 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, materialise, ready, text_bytes
 
 #: The most bytes of text, and texts, that one block gathers; a text is never split.
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 8 << 20
 BLOCK_DOCS = 65_000
 FIT_PASSES = 3
-#: Added to a piece's expected count, times its weight at the start.
+#: Pseudo-counts that the vocabulary's weights stand for.
 PRIOR = 1000.0
+#: Added to a rank before its inverse is taken (Zipf's law as Mandelbrot states it).
+RANK_SHIFT = 10.0
 #: Distinct words that are scored at once.
 LOT = 50_000
 SLOT_BITS = 20
@@ -54,31 +49,45 @@ LONG = 512
 LOG10 = math.log(10)
 MULT = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = np.uint64(0xBF58476D1CE4E5B9)
-END = b"\n"
 
 
-def default_pieces() -> list[bytes]:
-    """The pieces of the public 32k vocabulary by falling score, lower-cased, a word's start written as a space."""
+def default_vocabulary() -> tuple[list[bytes], np.ndarray]:
+    """Pieces of the public 32k vocabulary, lower-cased, a word's start written as a space, and their weights; what lower-casing makes equal adds up."""
     import public_tokenizers as P
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     normal = [i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
-    normal.sort(key=lambda i: -m.get_score(i))
-    return list(dict.fromkeys(m.id_to_piece(i).replace("▁", " ").encode().lower() for i in normal))
+    weights: dict[bytes, float] = {}
+    for i, x in zip(normal, piece_weights(np.array([m.get_score(i) for i in normal])), strict=True):
+        piece = m.id_to_piece(i).replace("▁", " ").encode().lower()
+        weights[piece] = weights.get(piece, 0.0) + float(x)
+    return list(weights), np.array(list(weights.values()))
+
+
+def piece_weights(scores: np.ndarray) -> np.ndarray:
+    """Probabilities of pieces from a vocabulary's scores.
+
+    Scores of a unigram vocabulary are log probabilities (their exponentials sum to about 1) and are taken as they are. Merge
+    vocabularies score a piece by its negative rank, which is no log probability; there a piece weighs 1 / (rank + RANK_SHIFT).
+    """
+    with np.errstate(over="ignore"):
+        p = np.exp(scores)
+    if not 0.9 < p.sum() < 1.1:
+        p = 1 / (np.argsort(np.argsort(-scores, kind="stable"), kind="stable") + RANK_SHIFT)
+    return p / p.sum()
 
 
 class Lattice:
-    """pieces: bytes by falling score. logp: natural logarithms, in the order of `pieces`."""
-
-    def __init__(self, pieces: list[bytes], logp: np.ndarray | None = None):
-        single = [bytes([i]) for i in range(256)]
-        self.pieces = pieces + [x for x in single if x not in set(pieces)]
-        n = len(self.pieces)
-        if logp is None:
-            weight = 1.0 / (np.arange(n) + 10.0)
-            logp = np.log(weight / weight.sum())
-        self.logp = logp
+    """pieces: bytes. logp: their natural logarithms; single bytes that are no piece follow, with SINGLE of the least weight."""
+
+    SINGLE = 0.1
+
+    def __init__(self, pieces: list[bytes], logp: np.ndarray):
+        known = set(pieces)
+        missing = [x for x in (bytes([i]) for i in range(256)) if x not in known]
+        self.pieces = list(pieces) + missing
+        self.logp = np.concatenate([logp, np.full(len(missing), logp.min() + math.log(self.SINGLE))])
         self.table: dict[bytes, tuple[int, float]] = {}
         self.longest = max(map(len, self.pieces))
         self.lengths = {len(p) for p in self.pieces}
@@ -190,12 +199,13 @@ class Lattice:
 
 
 def index(docs: DataFrame, train: object) -> DataFrame:
-    """block, word, c (training count), post. A row with a null word holds a block's texts in post.
+    """block, word, c (training count), slot (the word's place in the block). A row with a null word holds a block: c training texts, and post.
 
-    post of a word: for each text 3 bytes, its place in the block (2, low first) and how often it holds the
-    word; above 255 the entry is repeated. post of a block: doc_id, whether it is null, and n_tokens of each text.
+    post: numbers of texts and words; doc_id, whether it is known, and n_tokens of each text; where each word's list ends;
+    the lists, 3 bytes a text: its place in the block (2, low first) and how often it holds the word; above 255 the entry is repeated.
     """
-    columns = "block long, word binary, c long, post binary"
+    columns = "block long, word binary, c long, slot int, post binary"
+    names_of = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -225,15 +235,13 @@ def index(docs: DataFrame, train: object) -> DataFrame:
                 tf[last] = rest
             raw = np.empty((len(word), 3), np.uint8)
             raw[:, 0], raw[:, 1], raw[:, 2] = place & 255, place >> 8, tf
-            ends = 3 * np.cumsum(np.bincount(word, minlength=len(names)))
-            offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
-            post = pa.Array.from_buffers(pa.binary(), len(names), [None, offsets, pa.py_buffer(raw)])
-            block = base + number
-            table = pa.Table.from_arrays([pa.array(np.full(len(names), block)), pa.array(list(names), pa.binary()), pa.array(c), post], ["block", "word", "c", "post"])
+            ends = np.cumsum(np.bincount(word, minlength=len(names)))
+            block, n = base + number, len(names)
+            table = pa.Table.from_arrays([pa.array(np.full(n, block)), pa.array(list(names), pa.binary()), pa.array(c), pa.array(np.arange(n), pa.int32()), pa.nulls(n, pa.binary())], names_of)
             yield from table.to_batches(20_000)
             known = np.array([x is not None for x in ids])
-            head = np.array([x or 0 for x in ids], "<i8").tobytes() + known.tobytes() + counts.astype("<i8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([None], pa.binary()), pa.array([0], pa.int64()), pa.array([head], pa.binary())], ["block", "word", "c", "post"])
+            post = np.array([len(ids), n], "<i8").tobytes() + np.array([x or 0 for x in ids], "<i8").tobytes() + (counts + 1).astype("<i8").tobytes() + ends.astype("<i8").tobytes() + known.tobytes() + raw.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([None], pa.binary()), pa.array([sum(learn)], pa.int64()), pa.array([-1], pa.int32()), pa.array([post], pa.binary())], names_of)
             number, size = number + 1, 0
             for x in (ids, learn, parts, names):
                 x.clear()
@@ -243,7 +251,6 @@ def index(docs: DataFrame, train: object) -> DataFrame:
                 if ids and (size + len(text) > BLOCK_BYTES or len(ids) >= BLOCK_DOCS):
                     yield from flush()
                 words = text.lower().split()
-                words.append(END)
                 ids.append(doc_id)
                 learn.append(trains)
                 parts.append(np.fromiter([names.setdefault(w, len(names)) for w in words], np.int32, len(words)))
@@ -266,12 +273,19 @@ def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def fit(counts: DataFrame, pieces: list[bytes] | None = None, passes: int = FIT_PASSES) -> tuple[list[bytes], np.ndarray]:
-    """Piece weights by expectation-maximisation over distinct words (word, c); what comes back a pass is bounded by the vocabulary."""
+def fit(counts: DataFrame, ends: int, vocabulary: tuple[list[bytes], np.ndarray] | None = None, passes: int = FIT_PASSES) -> tuple[list[bytes], np.ndarray, float]:
+    """Pieces, their log probabilities, and that of the end, by expectation-maximisation over words (word, c) and `ends` ends.
+
+    What comes back a pass is bounded by the vocabulary.
+    """
     spark = counts.sparkSession
-    lattice = Lattice(pieces or default_pieces())
+    pieces, weights = vocabulary or default_vocabulary()
+    lattice = Lattice(pieces, np.log(weights / weights.sum()))
     start = np.exp(lattice.logp)
-    words = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END)))
+    start /= start.sum()
+    lattice.logp = np.log(start)
+    words = counts.where("c > 0").select("word", "c")
+    end = 0.0
     for _ in range(passes):
         shared = spark.sparkContext.broadcast((lattice.pieces, lattice.logp))
 
@@ -279,61 +293,62 @@ def fit(counts: DataFrame, pieces: list[bytes] | None = None, passes: int = FIT_
             own = Lattice(*shared.value)
             expect = np.zeros(len(own.pieces))
             for b in lots(batches):
-                own.score(b.column(0).to_pylist(), expect, np.ones(b.num_rows))
+                own.score(b.column(0).to_pylist(), expect, b.column(1).to_numpy().astype(float))
             at = np.flatnonzero(expect)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(expect[at])], ["piece", "n"])
 
-        found = words.select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        found = words.mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         n = PRIOR * start
         for r in found:
             n[r.piece] += r.n
-        lattice.logp = np.log(n / n.sum())
+        total = n.sum() + ends + 1
+        lattice.logp, end = np.log(n / total), math.log((ends + 1) / total)
         shared.destroy()
-    return lattice.pieces, lattice.logp
+    return lattice.pieces, lattice.logp, end
 
 
-def lattice_scores(docs: DataFrame, held_out_fold: tuple[int, int] = (5, 1), pieces: list[bytes] | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; the fold's modulus and remainder are not learned from."""
+def lattice_scores(docs: DataFrame, held_out_fold: tuple[int, int] = (5, 1), vocabulary: tuple[list[bytes], np.ndarray] | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; the fold's modulus and remainder are not learned from.
+
+    vocabulary: pieces and their weights (see default_vocabulary, piece_weights).
+    """
     spark = ready(docs.sparkSession)
     modulus, rest = held_out_fold
     held = fold("doc_id", modulus) == rest
     rows = index(docs, ~held)
     counts = materialise(rows.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("c").alias("c")), "lattice-counts")
-    total = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0)).alias("ends"), F.expr("count_if(c = 1)").alias("n1"), F.expr("count_if(c = 2)").alias("n2")).first()
-    model = spark.sparkContext.broadcast(fit(counts, pieces))
-    n, v = total.n, total.v
-    p_end = (total.ends + 0.5) / (n + 1.0)
-    discount = min(0.95, (total.n1 + 0.5) / (total.n1 + 2 * total.n2 + 1))
-    words_n, words_v = max(1, n - total.ends), v - (total.ends > 0)
+    ends = rows.where(F.col("word").isNull()).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().n
+    total = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    *model, log_end = fit(counts, ends, vocabulary)
+    shared = spark.sparkContext.broadcast(model)
+    n, v = total.n + ends, total.v + (ends > 0)
     below = math.log(n + 0.5 * (v + 1))
+    base_end, score_end = (math.log(ends + 0.5) - below) / LOG10, log_end / LOG10
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lattice(*model.value)
+        own = Lattice(*shared.value)
         for b in lots(batches):
-            words, c = b.column(0).to_pylist(), b.column(1).to_numpy()
-            subword = own.score(words) + (math.log(discount * words_v / words_n) if words_v else 0.0)
-            whole = np.log(np.maximum(c - discount, 1e-300) / words_n)
-            marginal = np.where(c > 0, np.logaddexp(subword, whole), subword) + math.log1p(-p_end)
-            for i, w in enumerate(words):
-                if w == END:
-                    marginal[i] = math.log(p_end)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c > 0), pa.array((np.log(c + 0.5) - below) / LOG10), pa.array(marginal / LOG10)], ["word", "known", "base", "score"])
+            c = b.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c > 0), pa.array((np.log(c + 0.5) - below) / LOG10), pa.array(own.score(b.column(0).to_pylist()) / LOG10)], ["word", "known", "base", "score"])
 
     weighed = counts.mapInArrow(weigh, "word binary, known boolean, base double, score double")
-    back = rows.join(weighed, "word", "left").select("block", "post", "known", "base", "score")
-
-    def gather(t: pa.Table) -> pa.Table:
-        known, post = t.column("known").to_pylist(), t.column("post")
-        head = known.index(None)
-        raw = post[head].as_py()
-        docs_n = len(raw) // 17
-        doc_id = pa.array(np.frombuffer(raw, "<i8", docs_n), mask=~np.frombuffer(raw, "?", docs_n, 8 * docs_n))
-        t = t.filter(pc.is_valid(t.column("known")))
-        flat = np.frombuffer(b"".join(t.column("post").to_pylist()), np.uint8).reshape(-1, 3)
-        sizes = pc.binary_length(t.column("post")).to_numpy() // 3
+    found = rows.where(F.col("word").isNotNull()).select("block", "word", "slot").join(weighed.hint("merge"), "word").select(F.col("block").alias("own"), "slot", "known", "base", "score")
+
+    def gather(block: pa.Table, words: pa.Table) -> pa.Table:
+        raw = block.column("post")[0].as_py()
+        texts, distinct = np.frombuffer(raw, "<i8", 2).tolist()
+        ids, n_tokens, stops = (np.frombuffer(raw, "<i8", k, at) for k, at in ((texts, 16), (texts, 16 + 8 * texts), (distinct, 16 + 16 * texts)))
+        doc_id = pa.array(ids, mask=~np.frombuffer(raw, "?", texts, 16 + 16 * texts + 8 * distinct))
+        flat = np.frombuffer(raw, np.uint8, offset=16 + 17 * texts + 8 * distinct).reshape(-1, 3)
+        word = np.repeat(np.arange(distinct), np.diff(stops, prepend=0))
         place, tf = flat[:, 0].astype(np.int64) | (flat[:, 1].astype(np.int64) << 8), flat[:, 2].astype(float)
-        sums = [np.bincount(place, tf * np.repeat(t.column(c).to_numpy().astype(float), sizes), docs_n) for c in ("known", "base", "score")]
-        return pa.table({"doc_id": doc_id, "n_tokens": pa.array(np.frombuffer(raw, "<i8", docs_n, 9 * docs_n)), "n_known": pa.array(np.rint(sums[0]).astype(np.int64)), "base_score": sums[1], "score": sums[2]})
-
-    out = back.groupBy("block").applyInArrow(gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        sums, slot = [], words.column("slot").to_numpy()
+        for name, own in (("known", float(ends > 0)), ("base", base_end), ("score", score_end)):
+            value = np.zeros(distinct)
+            value[slot] = words.column(name).to_numpy().astype(float)
+            sums.append(np.bincount(place, tf * value[word], texts) + own)
+        return pa.table({"doc_id": doc_id, "n_tokens": pa.array(n_tokens), "n_known": pa.array(np.rint(sums[0]).astype(np.int64)), "base_score": sums[1], "score": sums[2]})
+
+    blocks = rows.where(F.col("word").isNull()).select("block", "post")
+    out = blocks.groupBy("block").cogroup(found.groupBy("own")).applyInArrow(gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
