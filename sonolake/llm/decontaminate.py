@@ -2,16 +2,21 @@
 
 A mask names the places of a window of words that are hashed; the others may differ, so that a substituted
 word breaks the masks that look at it and no other. Windows of test items and of training texts with equal
-hashes are hits. Around a hit, item and text are compared word by word on the hit's diagonal, REACH words to either
-side; the overlap counts if at least MIN_MATCH words agree (all, for shorter items) and 3 of 4 of those compared.
+hashes are hits. The last mask ignores every fourth place, so that a passage with every fourth word substituted is found too.
+
+Around a hit, item and text are compared word by word on the hit's diagonal, REACH words to either side. Two spans are judged: all
+that is compared, and the best span (to either side of the window as far as agreement pays, a word that differs costing three
+that agree). One of them must have at least MIN_MATCH words that agree (all, for shorter items), and 3 of 4 of its own agree. So a
+verbatim excerpt of MIN_MATCH words from the middle of an item is found in the middle of a text.
 
 Items' windows are broadcast while they are few (counted first); beyond that, windows of both sides meet in a
-shuffle, and only hits fetch the words around them.
+shuffle, dealt by hash and salt, and only hits fetch the words around them.
 
 Defined results: words are runs of letters and digits, in lower case. Null and empty texts have no words and match
 nothing; items of fewer than FEWEST words cannot be told from chance and match nothing; items shorter than the masks
-must occur whole. A null id is reported as null. Repeated rows of one id are one document, repeated items of one id
-one item. Empty tables give no rows; extra columns are not read.
+must occur whole. A null id is reported as null. Repeated rows of one id are one document for contaminated(), repeated items
+of one id one item; clean() judges each text by itself, rows without an id among them. Empty tables give no rows; extra
+columns are not read, and clean() returns them, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,13 +24,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import salt, unused
+
 #: 1: the word is hashed. Fixed; every pair of substituted words spares at least one of them somewhere in a passage.
-MASKS = ["110110101", "101011011", "111001110"]
+MASKS = ["110110101", "101011011", "111011101"]
 SPAN = 9
 REACH = 8
 MIN_MATCH = 13
 FEWEST = 5
 BROADCAST_WORDS = 50_000
+#: Copies of the items' windows that training windows are dealt to in the shuffled plan.
+COPIES = 16
 #: Places of a segment, and words of the window around a hit.
 STEP = 16
 WINDOW = SPAN + 2 * REACH
@@ -60,46 +69,76 @@ def segments(rows: DataFrame) -> DataFrame:
 
 
 def seeds(rows: DataFrame, patterns: list[int]) -> DataFrame:
-    """Explodes segments into key and place (in seg) of each window and pattern; a text's last windows lack words and have none."""
-    keys = []
-    for p in range(STEP):
-        for k in patterns:
-            # nulls before and after the text are not hashed, so the rims are tested
-            here = REACH + p
-            inside = F.get("seg", F.lit(here)).isNotNull() & F.get("seg", F.lit(here + span(k) - 1)).isNotNull()
-            keys.append(F.when(inside, F.xxhash64(F.lit(k), *(F.get("seg", F.lit(here + o)) for o in offsets(k)))))
-    at = rows.withColumn("keys", F.array(*keys))
-    return at.select(*(c for c in rows.columns), F.posexplode("keys").alias("n", "key")).where("key is not null").withColumn("place", F.expr(f"n div {len(patterns)}").cast("int")).withColumn("pattern", F.col("n") % len(patterns)).drop("n")
+    """Explodes segments into key and place (in seg) of each window and pattern; a text's last windows lack words and have none.
+
+    One expression a pattern, over all places of a segment: written out for each place they are too much code for one method.
+    """
+
+    def keys(k: int) -> Column:
+        # nulls before and after the text are not hashed, so the rims are tested
+        def key(p: Column) -> Column:
+            word = lambda o: F.get("seg", p + (REACH + o))
+            return F.when(word(0).isNotNull() & word(span(k) - 1).isNotNull(), F.xxhash64(F.lit(k), *(word(o) for o in offsets(k))))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(STEP - 1)), lambda p: F.struct(p.alias("place"), F.lit(k).alias("pattern"), key(p).alias("key")))
+
+    at = rows.withColumn("w", F.explode(F.filter(F.concat(*map(keys, patterns)), lambda x: x["key"].isNotNull())))
+    return at.select(*rows.columns, "w.place", "w.pattern", "w.key")
 
 
 def window(seg: Column, place: Column) -> Column:
     return F.slice(seg, place + 1, WINDOW)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """doc_id, item_id, matched (most words that agree), identity (best share) of every overlap."""
+def arm(agree: Column) -> Column:
+    """matched and compared of the best start of a side, its words from the window outwards; agree: 1, 0, or null beyond the text or the item."""
+    none = F.struct(F.lit(0).alias("score"), F.lit(0).alias("matched"), F.lit(0).alias("compared"), F.lit(0).alias("top"), F.lit(0).alias("top_matched"), F.lit(0).alias("top_compared"))
+
+    def longer(s: Column, v: Column) -> Column:
+        score = s["score"] + F.when(v == 1, 1).otherwise(-3)
+        matched, compared, better = s["matched"] + v, s["compared"] + 1, score >= s["top"]
+        return F.struct(score.alias("score"), matched.alias("matched"), compared.alias("compared"), F.when(better, score).otherwise(s["top"]).alias("top"), F.when(better, matched).otherwise(s["top_matched"]).alias("top_matched"), F.when(better, compared).otherwise(s["top_compared"]).alias("top_compared"))
+
+    return F.aggregate(F.filter(agree, lambda v: v.isNotNull()), none, longer, lambda s: F.struct(s["top_matched"].alias("matched"), s["top_compared"].alias("compared")))
+
+
+def overlaps(docs: DataFrame, items: DataFrame, keys: list[str], broadcast_words: int) -> DataFrame:
+    """keys, item_id, matched (most words that agree), identity (best share) of every overlap. docs: keys and h (words' hashes)."""
     test = items.select("item_id", word_hashes(F.col("text")).alias("h")).withColumn("size", F.size("h"))
     sizes = test.where(F.col("size") >= FEWEST).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.collect_set(F.when(F.col("size") < SPAN, F.col("size"))).alias("short")).first()
     patterns = [*range(len(MASKS)), *sorted(len(MASKS) + n - FEWEST for n in sizes.short)]
-    whole = F.array(*(F.lit(span(k) if k >= len(MASKS) else 0) for k in patterns))[F.col("pattern")]
-    known = seeds(segments(test), patterns).where((whole == 0) | (whole == F.col("size"))).select("item_id", "size", "key", window(F.col("seg"), F.col("place")).alias("g"))
-    train = docs.select("doc_id", word_hashes(F.col("text")).alias("h"))
+    span_of = F.create_map(*(F.lit(x) for k in patterns for x in (k, span(k))))[F.col("pattern")]
+    known = seeds(segments(test), patterns).where((F.col("pattern") < len(MASKS)) | (span_of == F.col("size"))).select("item_id", "size", "key", span_of.alias("span"), window(F.col("seg"), F.col("place")).alias("g"))
     if sizes.words <= broadcast_words:
-        hits = seeds(segments(train), patterns).select("doc_id", "seg", "place", "key").join(F.broadcast(known), "key")
-        hits = hits.select("doc_id", "item_id", "size", "g", window(F.col("seg"), F.col("place")).alias("w"))
+        hits = seeds(segments(docs), patterns).select(*keys, "seg", "place", "key").join(F.broadcast(known), "key")
+        hits = hits.select(*keys, "item_id", "size", "span", "g", window(F.col("seg"), F.col("place")).alias("w"))
     else:
-        at = seeds(segments(train), patterns).select("doc_id", (F.col("base") + F.col("place")).alias("pos"), "key")
-        met = at.join(known, "key").select("doc_id", "pos", "item_id", "size", "g").distinct()
-        texts = train.select(F.col("doc_id").alias("__doc"), padded(F.col("h")).alias("p"))
-        hits = met.join(texts, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("doc_id", "item_id", "size", "g", window(F.col("p"), F.col("pos")).alias("w"))
-    both = F.zip_with("g", "w", lambda x, y: F.when(x == y, 1).otherwise(F.when(x.isNotNull() & y.isNotNull(), 0)))
-    seen = hits.select("doc_id", "item_id", "size", both.alias("agree"))
-    seen = seen.select("doc_id", "item_id", "size", F.size(F.filter("agree", lambda v: v.isNotNull())).alias("compared"), F.size(F.filter("agree", lambda v: v == 1)).alias("matched"))
+        at = seeds(segments(docs), patterns).select(*keys, (F.col("base") + F.col("place")).alias("pos"), "key").withColumn("copy", salt(COPIES, *keys, "pos"))
+        copies = known.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).cast("long"))
+        met = at.join(copies.hint("merge"), ["key", "copy"]).select(*keys, "pos", "item_id", "size", "span", "g").distinct()
+        texts = docs.select(*(F.col(k).alias(f"{k}_") for k in keys), padded(F.col("h")).alias("p")).hint("merge")
+        same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+        hits = met.join(texts, same).select(*keys, "item_id", "size", "span", "g", window(F.col("p"), F.col("pos")).alias("w"))
+    agree = F.zip_with("g", "w", lambda x, y: F.when(x == y, 1).otherwise(F.when(x.isNotNull() & y.isNotNull(), 0)))
+    seen = hits.select(*keys, "item_id", "size", "span", agree.alias("agree"))
+    core = F.filter(F.slice("agree", F.lit(REACH + 1), F.col("span")), lambda v: v.isNotNull())
+    left, right = arm(F.reverse(F.slice("agree", 1, REACH))), arm(F.slice("agree", F.lit(REACH + 1) + F.col("span"), F.lit(WINDOW)))
+    part = lambda f: F.size(F.filter("agree", lambda v: v == 1) if f == "matched" else F.filter("agree", lambda v: v.isNotNull()))
+    whole = F.struct(part("matched").alias("matched"), part("compared").alias("compared"))
+    best = F.struct((F.size(F.filter(core, lambda v: v == 1)) + F.col("left.matched") + F.col("right.matched")).alias("matched"), (F.size(core) + F.col("left.compared") + F.col("right.compared")).alias("compared"))
+    seen = seen.withColumns({"left": left, "right": right}).select(*keys, "item_id", "size", F.explode(F.array(whole, best)).alias("s")).select(*keys, "item_id", "size", "s.*")
     good = seen.where((F.col("matched") >= F.least(F.lit(MIN_MATCH), F.col("size"))) & (4 * F.col("matched") >= 3 * F.col("compared")))
-    return good.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max(F.col("matched") / F.col("compared")).alias("identity"))
+    return good.groupBy(*keys, "item_id").agg(F.max("matched").alias("matched"), F.max(F.col("matched") / F.col("compared")).alias("identity"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """doc_id, item_id, matched (most words that agree), identity (best share) of every overlap."""
+    return overlaps(docs.select("doc_id", word_hashes(F.col("text")).alias("h")), items, ["doc_id"], broadcast_words)
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that overlap with no item, all columns."""
-    bad = contaminated(docs, items).where("doc_id is not null").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__doc"), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """The rows of docs whose text overlaps with no item, all columns."""
+    doc, mark = unused(docs.columns, "doc", "mark")
+    named = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), word_hashes(F.col("text")).alias("h"))
+    bad = overlaps(named, items, ["doc", "mark"], broadcast_words).select(F.col("doc").alias(doc), F.col("mark").alias(mark)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(mark)), "left_anti")
