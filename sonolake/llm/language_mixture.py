@@ -12,7 +12,9 @@ PENALTY * ln(number of trigrams) / 2. The largest proportion names the document'
 Defined results: a null text and a text without a letter are `und` with score 0, as is every text if nothing
 was learned. Equal proportions go to the language that sorts first. Rows whose language is null or whose fold is
 held out are never learned from; a null id counts as the empty text in the fold. Texts of any length are
-read whole. Repeated rows count each; extra columns are not read.
+read whole. Repeated rows count each; extra columns are not read, and annotate() passes them on, whatever their names. An empty
+table gives no rows. The model takes BUCKETS numbers a language, on the driver and in each worker: more than MOST_LANGUAGES
+raise ValueError.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from .common import fold, ready
+from .common import fold, ready, unused
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -32,6 +35,8 @@ PENALTY = 8.0
 STEPS = 30
 TOLERANCE = 1e-4
 UNDETERMINED = "und"
+#: 512 KB each.
+MOST_LANGUAGES = 1000
 #: Bytes that are no ASCII letter and no part of a longer character count as a space.
 TO_SPACE = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -67,6 +72,8 @@ def learn(docs: DataFrame, train: Column) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at])], ["lang", "bucket", "n"])
 
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    if (n := rows.select("lang").distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages to learn; the model holds {MOST_LANGUAGES}")
     found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     n = np.full((BUCKETS, len(langs)), SMOOTHING)
@@ -103,28 +110,37 @@ def mixture(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred, score (its proportion), languages (those selected, largest first), proportions (theirs)."""
+def judge(text: str | None, langs: list[str], model: np.ndarray) -> tuple[str, float, list[str], list[float]]:
+    """The language, its proportion, the selected languages by falling proportion, and theirs."""
+    if not langs or text is None or not has_letter(text):
+        return UNDETERMINED, 0.0, [], []
+    n = np.bincount(trigrams(text), minlength=BUCKETS)
+    at = np.flatnonzero(n)
+    pi = mixture(model[at], n[at].astype(float))
+    order = [i for i in np.argsort(-pi, kind="stable") if pi[i] > 0]
+    return langs[order[0]], min(1.0, float(pi[order[0]])), [langs[i] for i in order], [float(pi[i]) for i in order]
+
+
+def annotate(docs: DataFrame, langs: list[str], logp: np.ndarray) -> tuple[DataFrame, list[str]]:
+    """docs, each row with its language beside it, and the names of the four new columns (see judge)."""
     spark = ready(docs.sparkSession)
     shared = spark.sparkContext.broadcast(np.exp(logp))
+    names = unused(docs.columns, "lang_pred", "score", "languages", "proportions")
+    kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for b in batches:
-            pred, score, names, shares = [], [], [], []
-            for text in b.column(1).to_pylist():
-                if not langs or text is None or not has_letter(text):
-                    pred.append(UNDETERMINED), score.append(0.0), names.append([]), shares.append([])
-                    continue
-                n = np.bincount(trigrams(text), minlength=BUCKETS)
-                at = np.flatnonzero(n)
-                pi = mixture(model[at], n[at].astype(float))
-                order = [i for i in np.argsort(-pi, kind="stable") if pi[i] > 0]
-                pred.append(langs[order[0]]), score.append(min(1.0, float(pi[order[0]])))
-                names.append([langs[i] for i in order]), shares.append([float(pi[i]) for i in order])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(names, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "languages", "proportions"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>")
+            found = [judge(t, langs, shared.value) for t in b.column("text").to_pylist()]
+            more = [pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *names])
+
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType()), StructField(names[2], ArrayType(StringType())), StructField(names[3], ArrayType(DoubleType()))])
+    return docs.mapInArrow(run, schema), names
+
+
+def predict(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
+    """doc_id, lang_pred, score (its proportion), languages (those selected, largest first), proportions (theirs)."""
+    return annotate(docs.select(F.col("doc_id").cast("long"), "text"), langs, logp)[0].drop("text")
 
 
 def identify(docs: DataFrame, held_out_fold: tuple[int, int] = (3, 1)) -> DataFrame:
