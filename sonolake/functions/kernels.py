@@ -213,15 +213,20 @@ def temporal_spread(x: np.ndarray, rate: int) -> float:
     return float(np.std(chunks)) if len(chunks) > 1 else 0.0
 
 
-def vinyl_noise(x: np.ndarray, rate: int, cutoff: float) -> tuple[bool, float]:
-    """Whether the band above the cutoff sounds like a record's surface, and the band's level in dB."""
+def vinyl_details(x: np.ndarray, rate: int, cutoff: float) -> tuple[bool, float, float | None]:
+    """Whether the band above the cutoff sounds like a record's surface, the band's level in dB, and its correlation 50 samples later (null if it is not looked at)."""
     if cutoff >= rate / 2 - 1000:
-        return False, -200.0
+        return False, -200.0, None
     band = bandpass(mono(x), rate, cutoff, rate / 2 - 100)
     level = energy_db(band)
     if level < -70:
-        return False, level
-    return level > -70 and lagged_correlation(band[:rate], 50) < 0.3 and temporal_spread(band, rate) < 5, level
+        return False, level, None
+    c = lagged_correlation(band[:rate], 50)
+    return level > -70 and c < 0.3 and temporal_spread(band, rate) < 5, level, c
+
+
+def vinyl_noise(x: np.ndarray, rate: int, cutoff: float) -> tuple[bool, float]:
+    return vinyl_details(x, rate, cutoff)[:2]
 
 
 def clicks(x: np.ndarray, rate: int) -> tuple[int, float]:
@@ -324,9 +329,10 @@ def mel_bank(rate: int, n_fft: int, bands: int) -> np.ndarray:
 
 
 def mel_db(x: np.ndarray, rate: int = 44_100, seconds: float = 10.0, n_fft: int = 2048, hop: int = 512, bands: int = 128) -> np.ndarray:
-    """(bands, frames) in dB below the loudest, not under -80; the signal is cut or padded to its length."""
+    """(bands, frames) in dB below the loudest, not under -80; the middle of longer signals, shorter ones padded at their end."""
     n = int(rate * seconds)
-    y = np.pad(mono(x)[:n], (n_fft // 2, n_fft // 2 + max(0, n - len(x))))
+    start = max(0, len(x) - n) // 2
+    y = np.pad(mono(x)[start : start + n], (n_fft // 2, n_fft // 2 + max(0, n - len(x))))
     rows = np.lib.stride_tricks.sliding_window_view(y, n_fft)[::hop]
     power = np.abs(np.fft.rfft(rows * np.hanning(n_fft + 1)[:-1], axis=1)) ** 2
     db = 10 * np.log10(np.maximum(1e-10, power @ mel_bank(rate, n_fft, bands).T)).T

@@ -29,6 +29,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 5 == 0).alias("vinyl"),
         (k % 60).cast("double").alias("clicks"),
         (-60 - k % 20).cast("double").alias("noise_db"),
+        ((k % 8) / F.lit(16.0)).alias("noise_corr"),
         (k % 16).cast("double").alias("preecho"),
         ((k % 9) / F.lit(10.0)).alias("aliasing"),
         (k % 4 == 0).alias("pattern"),
@@ -53,6 +54,7 @@ FEATURES_SQL = """f AS (SELECT o_orderkey AS k,
   o_orderkey % 5 = 0 AS vinyl,
   CAST(o_orderkey % 60 AS DOUBLE) AS clicks,
   CAST(-60 - o_orderkey % 20 AS DOUBLE) AS noise_db,
+  (o_orderkey % 8) / CAST(16 AS DOUBLE) AS noise_corr,
   CAST(o_orderkey % 16 AS DOUBLE) AS preecho,
   (o_orderkey % 9) / CAST(10 AS DOUBLE) AS aliasing,
   o_orderkey % 4 = 0 AS pattern,

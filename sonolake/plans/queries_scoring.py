@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import reasons as W
 from ..functions import rules as R
 from ..operators import lookups
 from . import scoring
@@ -43,13 +44,57 @@ x AS (SELECT *, {FOLD_SQL.format(deltas=f"s1, {R7_SQL}, {R9_SQL}, CASE WHEN mp3
 v AS (SELECT *, {VERDICT_SQL} AS verdict FROM (SELECT *, CAST(CASE WHEN decided THEN s1 WHEN s2 >= 86 THEN s2 ELSE {FOLD_SQL.format(deltas=f"s2, {R10_SQL.format(score='s2')}, {R12_SQL}")} END AS INTEGER) AS score FROM x))"""
 
 
+def _n(x: str, digits: int = 0) -> str:
+    return f"printf('%.{digits}f', round_even({x}, {digits}))"
+
+
+_PLACE = f"{_n('cutoff / (rate / 2.0::DOUBLE) * 100', 1)} || '% de Nyquist (' || {_n('cutoff')} || '/' || {_n('rate / 2.0::DOUBLE')} || ' Hz) → '"
+_BONUS = "CASE WHEN cutoff / (rate / 2.0::DOUBLE) >= 0.98::DOUBLE THEN 'Très proche limite (-50pts' ELSE 'Probablement authentique (-30pts' END"
+#: Texts in the order in which rules speak: (condition, text).
+_SAID = [
+    (f"{BASE8_SQL} < 0 AND (mp3 IS NULL OR decided)", f"'R8: Cutoff à ' || {_PLACE} || {_BONUS} || ')'"),
+    ("cutoff < 19000 AND hiss_db > -55 AND hiss_corr < 0.2::DOUBLE", f"'R11A: Bruit de bande détecté (' || {_n('hiss_db', 1)} || ' dB, aléatoire) (Prob. Cassette)'"),
+    ("cutoff < 19000 AND slope > -6 AND slope < -3", f"'R11B: Roll-off naturel cassette (' || {_n('slope', 1)} || ' dB/kHz) (Prob. Cassette)'"),
+    ("cutoff < 19000 AND slope < -10", f"'R11B: Coupure nette numérique (' || {_n('slope', 1)} || ' dB/kHz) (Prob. Numérique)'"),
+    ("cutoff < 19000", "'R11C: Aucun pattern MP3 détecté (compatible cassette) (Prob. Cassette)'"),
+    ("cutoff < 19000 AND std > 50 AND std < 300", f"'R11D: Variation cutoff naturelle (' || {_n('std')} || ' Hz, wow/flutter) (Prob. Cassette)'"),
+    ("cutoff < 19000 AND std < 30", f"'R11D: Cutoff très stable (' || {_n('std')} || ' Hz, suspect digital) (Prob. Numérique)'"),
+    ("tape >= 30", "'R11: Source cassette audio authentique (Bonus -40pts)'"),
+    ("mp3 IS NOT NULL", "'Constant MP3 bitrate detected (Spectral): ' || mp3 || ' kbps'"),
+    (f"cutoff < {THRESHOLD_SQL}", f"'R2: Cutoff ' || {_n('cutoff')} || ' Hz < ' || {_n(THRESHOLD_SQL)} || ' Hz (+' || {_n(f'least(({THRESHOLD_SQL} - cutoff) / 200, 30)')} || 'pts)'"),
+    ("mp3 IS NOT NULL AND container > 600", f"'R3: Source ' || mp3 || ' kbps vs conteneur ' || {_n('container')} || ' kbps'"),
+    ("depth = 24 AND mp3 < 500 AND cutoff < 19000", f"'R4: 24-bit avec bitrate source ' || mp3 || ' kbps et cutoff ' || {_n('cutoff')} || ' Hz (upscale suspect)'"),
+    ("s1 >= 86", "'⚡ Analyse rapide : FAKE_CERTAIN détecté sans règles coûteuses'"),
+    ("s1 < 86 AND decided", "'⚡ Analyse rapide : AUTHENTIC détecté sans règles coûteuses'"),
+    ("NOT decided AND used > 0.3::DOUBLE", f"'R7-P1: Dither artificiel détecté dans les silences (Ratio ' || {_n('used', 2)} || ' > 0.3) (+50pts)'"),
+    ("NOT decided AND used < 0.15::DOUBLE", f"'R7-P1: Silence naturel propre (Ratio ' || {_n('used', 2)} || ' < 0.15) (-50pts)'"),
+    ("NOT decided AND used BETWEEN 0.15::DOUBLE AND 0.3::DOUBLE AND vinyl", f"'R7-P2: Bruit vinyle détecté (énergie=' || {_n('noise_db', 1)} || 'dB, autocorr=' || {_n('noise_corr', 2)} || ') (-40pts)'"),
+    ("NOT decided AND used BETWEEN 0.15::DOUBLE AND 0.3::DOUBLE AND vinyl AND clicks BETWEEN 5 AND 50", f"'R7-P3: Clicks vinyle détectés (' || {_n('clicks', 1)} || ' clicks/min) (-10pts)'"),
+    ("NOT decided AND used BETWEEN 0.15::DOUBLE AND 0.3::DOUBLE AND NOT vinyl AND noise_db < -70", f"'R7-P2: Pas de bruit au-dessus du cutoff (énergie=' || {_n('noise_db', 1)} || 'dB) -> Upsampling digital suspect (+20pts)'"),
+    ("NOT decided AND used BETWEEN 0.15::DOUBLE AND 0.3::DOUBLE AND NOT vinyl AND noise_db >= -70", f"'R7-P2: Bruit avec pattern détecté (autocorr=' || {_n('noise_corr', 2)} || ') -> Incertain (0pts)'"),
+    ("NOT decided AND (cutoff < 21000 OR mp3 IS NOT NULL) AND preecho > 10", f"'R9A: Pré-echo détecté (' || {_n('preecho', 1)} || '% transitoires affectées) (+15pts)'"),
+    ("NOT decided AND (cutoff < 21000 OR mp3 IS NOT NULL) AND preecho >= 5 AND preecho <= 10", f"'R9A: Pré-echo modéré (' || {_n('preecho', 1)} || '% transitoires) (+10pts)'"),
+    ("NOT decided AND (cutoff < 21000 OR mp3 IS NOT NULL) AND aliasing > 0.5::DOUBLE", f"'R9B: Aliasing HF fort (corr=' || {_n('aliasing', 2)} || ') (+15pts)'"),
+    ("NOT decided AND (cutoff < 21000 OR mp3 IS NOT NULL) AND aliasing >= 0.3::DOUBLE AND aliasing <= 0.5::DOUBLE", f"'R9B: Aliasing HF modéré (corr=' || {_n('aliasing', 2)} || ') (+10pts)'"),
+    ("NOT decided AND (cutoff < 21000 OR mp3 IS NOT NULL) AND pattern", "'R9C: Pattern de bruit MP3 détecté (+10pts)'"),
+    ("NOT decided AND mp3 IS NOT NULL AND base8 < 0 AND used > 0.2::DOUBLE", f"'R8: Bonus Nyquist annulé (MP3 signature ' || mp3 || ' kbps + dither suspect ' || {_n('used', 2)} || ' > 0.2)'"),
+    ("NOT decided AND mp3 IS NOT NULL AND base8 < 0 AND used > 0.15::DOUBLE AND used <= 0.2::DOUBLE", f"'R8: Cutoff à ' || {_PLACE} || 'Bonus réduit (MP3 signature + zone grise) (-15pts)'"),
+    ("NOT decided AND mp3 IS NOT NULL AND base8 < 0 AND (used IS NULL OR used <= 0.15::DOUBLE)", f"'R8: Cutoff à ' || {_PLACE} || {_BONUS} || ', MP3 signature mais silence authentique)'"),
+    ("NOT decided AND s2 < 86 AND s2 > 30 AND segment_std > 1000", f"'R10: Cutoff variance élevée (' || {_n('segment_std')} || ' Hz) -> Mastering dynamique probable (-20pts)'"),
+    ("NOT decided AND s2 < 86 AND s2 > 30 AND segment_std <= 1000 AND problematic = 1", "'R10: Anomalie locale détectée (1 seul segment problématique) -> Artefact probable (-30pts)'"),
+    ("NOT decided AND s2 < 86 AND s2 > 30 AND segment_std < 500 AND problematic >= 3", f"'R10: Anomalie cohérente sur tout le fichier (Variance ' || {_n('segment_std')} || ' Hz)'"),
+    ("NOT decided AND s2 < 86 AND probability >= 0.5::DOUBLE", f"'R12: CNN classifier flags transcode (p=' || {_n('probability', 2)} || ', confidence=' || CASE WHEN probability >= 0.95::DOUBLE THEN 'very high' WHEN probability >= 0.8::DOUBLE THEN 'high' WHEN probability >= 0.65::DOUBLE THEN 'moderate' ELSE 'low' END || ', +' || {R12_SQL} || 'pts)'"),
+]
+REASON_SQL = "coalesce(nullif(array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {t} END" for c, t in _SAID) + "], lambda t: t IS NOT NULL), ' | '), ''), 'No anomaly detected')"
+
+
 def mp3_source() -> Column:
     return R.mp3_source(F.col("cutoff"), F.col("container"), F.col("std"), F.col("rate"), F.col("energy"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tape = R.rule11(F.col("cutoff"), F.col("std"), F.col("hiss_db"), F.col("hiss_corr"), F.col("slope"), F.lit(False))
-    return scoring.live(features(spark, sf_dir).withColumn("cassette", tape))
+    heard = (F.col("cutoff"), F.col("std"), F.col("hiss_db"), F.col("hiss_corr"), F.col("slope"), F.lit(False))
+    return scoring.live(features(spark, sf_dir).withColumns({"cassette": R.rule11(*heard), "cassette_reasons": W.rule11(*heard)}))
 
 
 @query(f"{WITH_MP3} SELECT k, CASE WHEN mp3 IS NOT NULL THEN 50 ELSE 0 END AS points, mp3 FROM m")
@@ -124,6 +169,11 @@ def live_pipeline_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("k", "mp3", "score", "verdict")
 
 
+@query(f"{LIVE_SQL} SELECT k, verdict, {REASON_SQL} AS reason FROM v")
+def live_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir).select("k", "verdict", "reason")
+
+
 @query(f"{LIVE_SQL} SELECT verdict, count(*) AS n_files, min(score) AS min_score, max(score) AS max_score FROM v GROUP BY verdict")
 def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n_files"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))

@@ -93,3 +93,19 @@ def test_lengths(spark, library, monkeypatch):
         assert (r.tokens_le, r.tokens_gt) == (sum(x for x in n if x <= limit), sum(x for x in n if x > limit))
         assert r.truncated_total == sum(min(x, limit) for x in n) and r.lost_tokens == sum(n) - r.truncated_total and r.quantile == r.docs_le / len(n)
     assert token_lengths.token_lengths(cases.empty(spark)).count() == 0
+
+
+def test_any_limit_and_quantile(spark):
+    lengths = [0, 3, 3, 7, 10, 2000, 2000, 5000]
+    rows = token_lengths.answers(token_lengths.histogram(spark.createDataFrame([(n,) for n in lengths], "n_tokens long")))
+    limits = [0, 2, 3, 5, 1999, 2000, 4999, 9999]
+    for r in token_lengths.at_limits(rows, limits).collect():
+        fit, cut = [n for n in lengths if n <= r.context], sum(min(n, r.context) for n in lengths)
+        assert (r.docs_le, r.tokens_le, r.docs_gt, r.tokens_gt) == (len(fit), sum(fit), len(lengths) - len(fit), sum(lengths) - sum(fit))
+        assert (r.truncated_total, r.lost_tokens) == (cut, sum(lengths) - cut)
+    got = {r.share: r.n_tokens for r in token_lengths.at_quantiles(rows, [0.0, 0.125, 0.5, 0.51, 1.0]).collect()}
+    assert got == {0.0: 0, 0.125: 0, 0.5: 7, 0.51: 10, 1.0: 5000}
+    above = token_lengths.at_limits(rows.where("n_tokens > 0"), [0]).first()
+    assert above.docs_le == 0
+    none = rows.limit(0)
+    assert token_lengths.at_limits(none, [5]).first().truncated_total == 0 and token_lengths.at_quantiles(none, [0.5]).first().n_tokens is None

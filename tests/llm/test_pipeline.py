@@ -1,12 +1,14 @@
 """Stages of the pipeline, each on its own, and run() against a brute-force version."""
 
 import hashlib
+import os
 
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sonolake import runtime
 from sonolake.llm import bpe_tree, line_chunks
 
 from . import cases
@@ -35,6 +37,21 @@ def test_stages(spark, folder):
                 assert out.columns == given.columns and out.dtypes == given.dtypes
 
 
+def test_rows_without_or_with_repeated_ids(spark, folder):
+    text, other = cases.words("one", 60), cases.words("two", 60)
+    docs = spark.createDataFrame([(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text, "en", "a", 1), (None, text, "en", "a", 1), (None, other, "en", "a", 1), (None, other, "en", "b", 1), (4, None, "en", "a", 1)], cases.COLUMNS)
+    kept = corpus_pipeline.near_duplicates(spark, docs, folder).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, text), (0, other), (4, "")])
+
+
+def test_folders_are_freed(spark, folder):
+    root = runtime.scratch_root(spark).removeprefix("file:") + "/sonolake/" + spark.sparkContext.applicationId
+    before = set(os.listdir(root)) if os.path.exists(root) else set()
+    corpus_pipeline.run(spark, folder).count()
+    made = set(os.listdir(root)) - before
+    assert len(made) == 1 and made.pop().startswith("stage-decontamination")
+
+
 def test_run(spark, folder):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
     docs = spark.read.parquet(f"{folder}/documents.parquet")
