@@ -20,7 +20,12 @@ OTHER_AUDIO = ["mp3", "m4a", "aac", "ogg", "wma", "opus", "ape"]
 #: Parts of decoder messages that a retry may mend.
 TEMPORARY = ["lost sync", "decoder error", "sync error", "invalid frame", "unexpected end", "unknown error"]
 #: Ripping programs by what their logs begin with, best evidence first.
-RIPPERS = [("EAC", "Exact Audio Copy"), ("XLD", "X Lossless Decoder"), ("CUERipper", "CUERipper"), ("Audiochecker", "AUDIOCHECKER")]
+RIPPERS = [("EAC", ["Exact Audio Copy", "EAC extraction logfile"]), ("XLD", ["X Lossless Decoder", "XLD extraction logfile"]), ("CUERipper", ["CUERipper"]), ("Audiochecker", ["AUDIOCHECKER"])]
+#: Source of an entry whose log checked single tracks, and the status that such a track needs.
+CHECKED_SOURCE, CHECKED_STATUS = "audiochecker_cdda100", "CDDA (100%)"
+#: What the text report advises, by the count that asks for it, and the diagnostic report's heading.
+ADVICE = [("Delete Fakes", "fake"), ("Check Suspicious", "suspect"), ("Repair Duration", "duration_issues_critical")]
+DIAGNOSTIC_HEAD = "DIAGNOSTIC REPORT - File Analysis Issues"
 #: Transcoding targets (label, encoder, extension, bitrate, further arguments).
 CODECS = [
     ("mp3_128", "libmp3lame", "mp3", "128k", ""), ("mp3_192", "libmp3lame", "mp3", "192k", ""), ("mp3_256", "libmp3lame", "mp3", "256k", ""), ("mp3_320", "libmp3lame", "mp3", "320k", ""),

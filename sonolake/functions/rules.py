@@ -124,6 +124,13 @@ def real_bitrate(size: Column, duration: Column) -> Column:
     return F.when(duration > 0, size * 8 / (duration * 1000)).otherwise(0.0)
 
 
+def bitrate_spread(size: Column, duration: Column, parts: int = 10) -> Column:
+    """Population deviation of the bitrates of a file cut into equal parts: without the frames' own sizes all parts are alike."""
+    each = real_bitrate(size / parts, duration / parts)
+    mean = F.aggregate(F.array_repeat(each, parts), F.lit(0.0), lambda s, v: s + v) / parts
+    return F.sqrt(F.aggregate(F.array_repeat(each, parts), F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / parts)
+
+
 def apparent_bitrate(rate: Column, depth: Column, channels: Column) -> Column:
     return F.floor(rate.cast("long") * depth * channels / 1000).cast("int")
 

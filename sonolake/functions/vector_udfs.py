@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,18 @@ def spectra(frames: DataFrame) -> DataFrame:
     return frames.select("vec_id", "samples").mapInArrow(run, "vec_id long, mag array<double>")
 
 
+def mapped(rows: DataFrame, key: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """key, values: f of each row's samples."""
+    ship_code(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = [np.asarray(f(np.asarray(x, float)), float).tolist() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.list_(pa.float64()))], [key, "values"])
+
+    return rows.select(key, "samples").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, values array<double>")
+
+
 def cutoff_bins(frames: DataFrame, ref_low: int, ref_high: int, width: int, drop_db: float) -> DataFrame:
     """As operators.signal_sql.cutoff_bins over dft, one frame at a time."""
     ship_code(frames.sparkSession)

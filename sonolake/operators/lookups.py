@@ -25,9 +25,38 @@ def parse_metadata(rows: DataFrame) -> DataFrame:
 
 
 def codec_jobs(files: DataFrame) -> DataFrame:
-    """Every file with every transcoding target (ten rows): label, encoder, extension, bitrate, target path.
+    """Every file with every transcoding target (ten rows): label, encoder, extension, bitrate, arguments.
 
     The codecs are exploded from a literal, so that no join is needed.
     """
-    codecs = F.array(*(F.struct(F.lit(a).alias("label"), F.lit(b).alias("encoder"), F.lit(x).alias("extension"), F.lit(r).alias("bitrate")) for a, b, x, r in CODECS))
+    codecs = F.array(*(F.struct(F.lit(a).alias("label"), F.lit(b).alias("encoder"), F.lit(x).alias("extension"), F.lit(r).alias("bitrate"), F.lit(e).alias("arguments")) for a, b, x, r, e in CODECS))
     return files.withColumn("codec", F.explode(codecs)).select("*", "codec.*").drop("codec")
+
+
+def target_path(path: F.Column, source_root: str, target_root: str, label: F.Column) -> F.Column:
+    """Where a transcode goes: its label's folder, then the path below the source root; null outside it."""
+    inner = relative_path(path, source_root)
+    return F.concat(F.lit(target_root.rstrip("/") + "/"), label, F.lit("/"), inner)
+
+
+def posix(path: F.Column) -> F.Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
+def relative_path(path: F.Column, root: str) -> F.Column:
+    """The path below a root with slashes only; null outside it. Drive letters and folders compare without case."""
+    start = root.replace("\\", "/").rstrip("/") + "/"
+    p = posix(path)
+    return F.when(F.lower(F.left(p, F.lit(len(start)))) == start.lower(), F.substring(p, len(start) + 1, 1 << 30))
+
+
+def shell_path(path: F.Column) -> F.Column:
+    """A folder with a drive letter as Unix shells on such systems name it, with a slash at its end."""
+    p = posix(path)
+    drive, rest = F.lower(F.rtrim(F.substring_index(p, "/", 1), F.lit(":"))), F.regexp_replace(p, "^[^/]*/?", "")
+    return F.concat(F.rtrim(F.concat(F.lit("/"), drive, F.lit("/"), rest), F.lit("/")), F.lit("/"))
+
+
+def repair_summary(rows: DataFrame) -> DataFrame:
+    """total, fixed, skipped, errors of rows of a repair (skipped, success booleans)."""
+    return rows.agg(F.count("*").alias("total"), F.count_if("success").alias("fixed"), F.count_if(~F.col("success") & F.col("skipped")).alias("skipped"), F.count_if(~F.col("success") & ~F.col("skipped")).alias("errors"))

@@ -20,6 +20,12 @@ def dc_offset(rows: DataFrame, key: str = "sig", threshold: float = 0.001) -> Da
     return rows.groupBy(key).agg(F.avg("x").alias("offset")).withColumns({"has_dc_offset": F.abs("offset") >= threshold, "severity": dc_severity(F.abs("offset"), threshold)})
 
 
+def dc_offset_channels(rows: DataFrame, key: str = "sig", channel: str = "channel", threshold: float = 0.001) -> DataFrame:
+    """As dc_offset, of arrays: the mean of the channels' means, also where channels differ in length."""
+    each = rows.groupBy(key, channel).agg(F.avg("x").alias("m"))
+    return each.groupBy(key).agg(F.avg("m").alias("offset")).withColumns({"has_dc_offset": F.abs("offset") >= threshold, "severity": dc_severity(F.abs("offset"), threshold)})
+
+
 def dc_severity(size: Column, threshold: float = 0.001) -> Column:
     return F.when(size < threshold, "none").when(size < 0.01, "light").when(size < 0.05, "moderate").otherwise("severe")
 

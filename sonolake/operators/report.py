@@ -8,10 +8,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import BUCKETS, CRITICAL_ISSUES, OTHER_AUDIO
+from ..functions.constants import ADVICE, BUCKETS, CRITICAL_ISSUES, DIAGNOSTIC_HEAD, OTHER_AUDIO
 
 ISSUE = "struct<issue_type: string, message: string, frames_read: bigint, total_frames: bigint, retry_count: int, timestamp: string>"
 RESULT = (
@@ -80,9 +80,9 @@ def pending(files: DataFrame, done: DataFrame, key: str = "filepath") -> DataFra
 
 
 def latest(results: DataFrame, key: str = "filepath", order: Iterable[str] = ("analyzed_at", "seq")) -> DataFrame:
-    """The newest row of each key, as an upsert leaves it."""
-    w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
-    return results.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The newest row of each key, as an upsert leaves it. Rows merge before the shuffle, so that a key with many rows is no load."""
+    newest = results.groupBy(key).agg(F.max_by(F.struct("*"), F.struct(*order)).alias("r"))
+    return newest.select("r.*")
 
 
 def issue_types(results: DataFrame) -> DataFrame:
@@ -108,62 +108,144 @@ def fit_width(text: Column, width: int) -> Column:
     return F.when(F.length(text) > width, F.concat(F.left(text, F.lit(width - 3)), F.lit("..."))).otherwise(F.rpad(text, width, " "))
 
 
+def console_line(number: Column, total: Column) -> Column:
+    """A result as the console shows it: place, icon, verdict by report bucket, score, and the file name cut at 50."""
+    s = F.col("score")
+    icon = F.when(s >= 80, "❌").when(s >= 50, "⚠️ ").when(s >= 30, "❓").otherwise("✅")
+    verdict = F.when(s >= 80, "FAKE").when(s >= 50, "SUSPICIOUS").when(s >= 30, "WARNING").otherwise("AUTHENTIC")
+    name = F.when(F.length("filename") > 50, F.concat(F.left("filename", F.lit(47)), F.lit("..."))).otherwise(F.col("filename"))
+    return F.format_string("[%03d/%03d] %s %-12s %7s  %s", number, total, icon, verdict, F.concat(s.cast("string"), F.lit("/100")), name)
+
+
+def console_icon(score: Column) -> Column:
+    return F.when(score >= 80, "[FAKE]").when(score >= 50, "[SUSP]").when(score >= 30, "[?]").otherwise("[OK]")
+
+
+def scan_info(results: DataFrame, scan_paths: list[str], version: str, now: str) -> DataFrame:
+    """One row: what the JSON report says about the scan."""
+    return results.agg(F.count_if(F.col("verdict") != "NON_FLAC").alias("total_flac_files"), F.count_if(F.col("verdict") == "NON_FLAC").alias("total_non_flac_files")).select(
+        F.lit(now).alias("timestamp"), F.lit(version).alias("analyzer_version"), F.array(*map(F.lit, scan_paths)).cast("array<string>").alias("scan_paths"), "total_flac_files", "total_non_flac_files"
+    )
+
+
 def json_document(results: DataFrame, scan_paths: list[str], version: str, now: str) -> str:
-    """The report as one JSON text with scan_info and results; for reports that fit the driver. Larger ones: results.write.json."""
-    row = results.agg(
-        F.to_json(F.struct(
-            F.struct(F.lit(now).alias("timestamp"), F.lit(version).alias("analyzer_version"), F.array(*map(F.lit, scan_paths)).alias("scan_paths"), F.count_if(F.col("verdict") != "NON_FLAC").alias("total_flac_files"), F.count_if(F.col("verdict") == "NON_FLAC").alias("total_non_flac_files")).alias("scan_info"),
-            F.collect_list(F.struct("*")).alias("results"),
-        )).alias("doc")
-    ).first()
-    return row.doc
+    """The report as one JSON text with scan_info and results; for reports that fit the driver. Any size: sinks.write_json_report."""
+    head = scan_info(results, scan_paths, version, now).select(F.to_json(F.struct("*")).alias("j")).first().j
+    rows = ",".join(r.j for r in results.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator())
+    return f'{{"scan_info":{head},"results":[{rows}]}}'
 
 
-def text_report(results: DataFrame, scan_paths: list[str]) -> str:
-    """The fixed-width report: statistics, suspicious, corrupted and upsampled files, and what to do."""
+def paths_from_json(spark: SparkSession, path: str, condition: str, field: str = "results") -> DataFrame:
+    """filepath of a JSON report's rows that a condition holds for: quarantine lists, playlists."""
+    rows = spark.read.option("multiLine", True).json(path).select(F.explode(field).alias("r")).select("r.*")
+    return rows.where(condition).select("filepath")
+
+
+LINES = "part int, worst int, path string, n int, line string"
+
+
+def text_lines(results: DataFrame, scan_paths: list[str]) -> DataFrame:
+    """The fixed-width report as rows of LINES, to be sorted by all but the line: statistics, suspicious, corrupted and upsampled files, and what to do.
+
+    Only counts come to the driver.
+    """
+    spark = results.sparkSession
     st = statistics(results).first().asDict()
     rule = "-" * WIDTH
     named = results.withColumn("shown", display_path(F.col("filepath"), F.col("filename"), scan_paths))
-    out = [rule, f" Files: {st['total']} | Authentic: {st['authentic']} ({st['authentic_pct']}) | Fake: {st['fake']} ({st['fake_pct']}) | Suspect: {st['suspect']} ({st['suspect_pct']})"]
+    head = [rule, f" Files: {st['total']} | Authentic: {st['authentic']} ({st['authentic_pct']}) | Fake: {st['fake']} ({st['fake_pct']}) | Suspect: {st['suspect']} ({st['suspect_pct']})"]
     short = {"Duration": "duration_issues", "Clipping": "clipping_issues", "DC": "dc_offset_issues", "Silence": "silence_issues", "FakeHiRes": "fake_high_res", "Upsampled": "upsampled_files", "Corrupt": "corrupted_files", "Non-FLAC": "non_flac_files"}
     if some := [f"{k}: {st[v]}" for k, v in short.items() if st[v]]:
-        out.append(" Issues: " + ", ".join(some))
-    out.append(rule)
-    kbps = F.coalesce("estimated_mp3_bitrate", F.lit(0))
-    line = F.format_string(" %-4s | %-7s | %-15s | %-8s | %-8s | %s", score_icon(F.col("score")), F.concat(F.col("score").cast("string"), F.lit("/100")), "verdict", F.format_string("%.1fk", F.coalesce(F.col("cutoff_freq"), F.lit(0.0)) / 1000), F.when(kbps > 0, F.concat(kbps.cast("string"), F.lit("k"))).otherwise("-"), "shown")
-    bad = [r.line for r in suspicious(named).select(line.alias("line")).collect()]
-    out += [f" SUSPICIOUS FILES ({len(bad)})", " " + rule[2:], *bad] if bad else [" No suspicious files found."]
-    out.append(rule)
-    broken = [r.shown for r in named.where("is_corrupted").orderBy("filepath").select("shown").collect()]
-    out += [f" CORRUPTED FILES ({len(broken)})", *(f" [!!] | {x}" for x in broken)] if broken else [" No corrupted files found."]
-    out.append(rule)
-    rate = F.when(F.coalesce("suspected_original_rate", F.lit(0)) > 0, F.concat(F.col("suspected_original_rate").cast("string"), F.lit(" Hz"))).otherwise("Unknown")
-    up = [r.line for r in named.where("is_upsampled").orderBy("filepath").select(F.format_string(" [?]  | %-15s | %s", rate, "shown").alias("line")).collect()]
-    out += [f" UPSAMPLED FILES ({len(up)})", *up] if up else [" No upsampled files found."]
-    advice = [a for a, n in (("Delete Fakes", st["fake"]), ("Check Suspicious", st["suspect"]), ("Repair Duration", st["duration_issues_critical"])) if n]
-    return "\n".join([*out, rule, " Action: " + ", ".join(advice) if advice else " Status: All Good"])
+        head.append(" Issues: " + ", ".join(some))
+    bad = st["suspect"] + st["fake"]
+    heads = {
+        0: [*head, rule], 1: [f" SUSPICIOUS FILES ({bad})", " " + rule[2:]] if bad else [" No suspicious files found."],
+        3: [rule, f" CORRUPTED FILES ({st['corrupted_files']})" if st["corrupted_files"] else " No corrupted files found."],
+        5: [rule, f" UPSAMPLED FILES ({st['upsampled_files']})" if st["upsampled_files"] else " No upsampled files found."],
+        7: [rule, " Action: " + ", ".join(advice) if (advice := [text for text, k in ADVICE if st[k]]) else " Status: All Good"],
+    }
+    kbps, rate = F.coalesce("estimated_mp3_bitrate", F.lit(0)), F.coalesce("suspected_original_rate", F.lit(0))
+    row = F.format_string(
+        " %-4s | %-7s | %-15s | %-8s | %-8s | %s", score_icon(F.col("score")), F.concat(F.col("score").cast("string"), F.lit("/100")), "verdict",
+        F.format_string("%.1fk", F.coalesce(F.col("cutoff_freq"), F.lit(0.0)) / 1000), F.when(kbps > 0, F.concat(kbps.cast("string"), F.lit("k"))).otherwise("-"), "shown",
+    )
+    was = F.when(rate > 0, F.concat(rate.cast("string"), F.lit(" Hz"))).otherwise("Unknown")
 
+    def lines(rows: DataFrame, part: int, worst: Column, line: Column) -> DataFrame:
+        return rows.select(F.lit(part).alias("part"), worst.cast("int").alias("worst"), F.col("filepath").alias("path"), F.lit(0).alias("n"), line.alias("line"))
 
-def diagnostic_report(results: DataFrame) -> str:
-    """Counts of decoding issues, then every file that has some, by path."""
+    out = spark.createDataFrame([(part, 0, "", n, x) for part, xs in heads.items() for n, x in enumerate(xs)], LINES)
+    out = out.unionAll(lines(named.where("score >= 50"), 2, -F.col("score"), row))
+    out = out.unionAll(lines(named.where("is_corrupted"), 4, F.lit(0), F.format_string(" [!!] | %s", "shown")))
+    return out.unionAll(lines(named.where("is_upsampled"), 6, F.lit(0), F.format_string(" [?]  | %-15s | %s", was, "shown")))
+
+
+def sorted_lines(lines: DataFrame) -> DataFrame:
+    return lines.orderBy("part", "worst", "path", "n").select("line")
+
+
+def text_report(results: DataFrame, scan_paths: list[str]) -> str:
+    """The text report as one text; for reports that fit the driver. Any size: sinks.write_text_report."""
+    return "\n".join(r.line for r in sorted_lines(text_lines(results, scan_paths)).toLocalIterator())
+
+
+def lines_with(lines: DataFrame, *words: str) -> DataFrame:
+    """The lines of a report that hold one of the words."""
+    return lines.where(reduce(lambda a, b: a | b, (F.col("line").contains(w) for w in words)))
+
+
+def issues_of(results: DataFrame, filepath: str) -> DataFrame:
+    """The issues of one file, a row each."""
+    return results.where(F.col("filepath") == filepath).select(F.explode("issues").alias("i")).select("i.*")
+
+
+def files_with_issues(results: DataFrame) -> DataFrame:
+    return results.where(F.coalesce(F.size("issues") > 0, F.lit(False))).select("filepath")
+
+
+def diagnostic_lines(results: DataFrame) -> DataFrame:
+    """Rows of LINES: counts of decoding issues, then every file that has some, by path. Only counts come to the driver."""
+    spark = results.sparkSession
     d = diagnostics(results).first()
     share = d.files_with_issues / max(d.total_files, 1) * 100
-    out = ["=" * 80, "DIAGNOSTIC REPORT - File Analysis Issues", "=" * 80, "", "SUMMARY:", f"  Total files analyzed: {d.total_files}", f"  Files with issues: {d.files_with_issues} ({share:.1f}%)", f"  Clean files: {d.clean_files}", f"  Critical failures: {d.critical_failures}", ""]
+    counts = [f"  Total files analyzed: {d.total_files}", f"  Files with issues: {d.files_with_issues} ({share:.1f}%)", f"  Clean files: {d.clean_files}", f"  Critical failures: {d.critical_failures}", ""]
+    head = ["=" * 80, DIAGNOSTIC_HEAD, "=" * 80, "", "SUMMARY:", *counts]
     if types := issue_types(results).orderBy("issue_type").collect():
-        out += ["ISSUE TYPES:", *(f"  {t.issue_type}: {t.n_issues}" for t in types), ""]
-    for r in results.where("size(issues) > 0").select("filepath", "filename", "issues", has_critical().alias("critical")).orderBy("filepath").collect():
-        out += ["", f"{'[CRITICAL]' if r.critical else '[WARNING]'} {r.filename}", f"  Path: {r.filepath}"]
-        for n, i in enumerate(r.issues, 1):
-            out += [f"  Issue {n}: {i.issue_type}", f"    Time: {i.timestamp}", f"    Message: {i.message}"]
-            if i.frames_read is not None and i.total_frames is not None:
-                out.append(f"    Data read: {i.frames_read}/{i.total_frames} frames ({i.frames_read / i.total_frames * 100 if i.total_frames else 0:.1f}%)")
-            if i.retry_count:
-                out.append(f"    Retries: {i.retry_count}")
-    return "\n".join([*out, "", "=" * 80])
+        head += ["ISSUE TYPES:", *(f"  {t.issue_type}: {t.n_issues}" for t in types), ""]
+    out = spark.createDataFrame([(0, 0, "", n, x) for n, x in enumerate(head)] + [(2, 0, "", 0, ""), (2, 0, "", 1, "=" * 80)], LINES)
+    pct = F.when(F.col("i.total_frames") > 0, F.col("i.frames_read") / F.col("i.total_frames") * 100).otherwise(0.0)
+    none = F.array().cast("array<string>")
+    each = results.where("size(issues) > 0").select("filepath", "filename", has_critical().alias("critical"), F.posexplode("issues").alias("k", "i"))
+    texts = F.concat(
+        F.when(F.col("k") == 0, F.array(F.lit(""), F.concat(F.when(F.col("critical"), "[CRITICAL] ").otherwise("[WARNING] "), "filename"), F.concat(F.lit("  Path: "), "filepath"))).otherwise(none),
+        F.array(F.format_string("  Issue %d: %s", F.col("k") + 1, "i.issue_type"), F.concat(F.lit("    Time: "), F.coalesce("i.timestamp", F.lit(""))), F.concat(F.lit("    Message: "), F.coalesce("i.message", F.lit("")))),
+        F.when(F.col("i.frames_read").isNotNull() & F.col("i.total_frames").isNotNull(), F.array(F.format_string("    Data read: %d/%d frames (%.1f%%)", "i.frames_read", "i.total_frames", pct))).otherwise(none),
+        F.when(F.col("i.retry_count") > 0, F.array(F.format_string("    Retries: %d", "i.retry_count"))).otherwise(none),
+    )
+    rows = each.select("filepath", "k", F.posexplode(texts).alias("j", "line")).select(F.lit(1).alias("part"), F.lit(0).alias("worst"), F.col("filepath").alias("path"), (F.col("k") * 100 + F.col("j")).alias("n"), "line")
+    return out.unionAll(rows)
+
+
+def diagnostic_report(results: DataFrame) -> str:
+    """As one text; for reports that fit the driver. Any size: sinks.write_lines of sorted_lines(diagnostic_lines())."""
+    return "\n".join(r.line for r in sorted_lines(diagnostic_lines(results)).toLocalIterator())
+
+
+def dated_name(prefix: str, when: Column, extension: str) -> Column:
+    """The name of a report that is not given one."""
+    return F.concat(F.lit(f"{prefix}_"), F.date_format(when, "yyyyMMdd_HHmmss"), F.lit(f".{extension}"))
+
+
+def integrity_lists(tests: DataFrame) -> DataFrame:
+    """error_type, paths (sorted) of decoder test outputs (path, stderr), a row a file, damaged ones only."""
+    return tests.select("path", error_type().alias("error_type")).where("error_type is not null").orderBy("error_type", "path")
 
 
 def integrity_summary(tests: DataFrame) -> DataFrame:
     """error_type, n_files of decoder test outputs (path, stderr); healthy files have a null type. The last token that occurs wins."""
+    return tests.groupBy(error_type().alias("error_type")).agg(F.count("*").alias("n_files"))
+
+
+def error_type() -> Column:
     err = F.upper("stderr")
-    kind = F.when(F.col("stderr").isNull() | (F.col("stderr") == ""), F.lit(None)).when(err.contains("CRC") | err.contains("MISMATCH"), "CRC_MISMATCH").when(err.contains("HEADER"), "BAD_HEADER").when(err.contains("SYNC"), "LOST_SYNC").otherwise("UNKNOWN")
-    return tests.groupBy(kind.alias("error_type")).agg(F.count("*").alias("n_files"))
+    return F.when(F.col("stderr").isNull() | (F.col("stderr") == ""), F.lit(None)).when(err.contains("CRC") | err.contains("MISMATCH"), "CRC_MISMATCH").when(err.contains("HEADER"), "BAD_HEADER").when(err.contains("SYNC"), "LOST_SYNC").otherwise("UNKNOWN")

@@ -27,6 +27,16 @@ def consistency_plan(files: DataFrame, positions: list[float], seconds: float =
     return a.withColumns({"start": (start * F.col("rate")).cast("long"), "frames": (F.least(F.lit(seconds), d) * F.col("rate")).cast("long")})
 
 
+def trim_plan(files: DataFrame, start: float = 30.0, seconds: float = 30.0, least: float = 0.0) -> DataFrame:
+    """What is cut out of a file for upload: seconds from start on; the beginning of files that end before it. files: duration.
+
+    Adds start and seconds (what is there of them).
+    """
+    d = F.col("duration")
+    begin = F.when(d > start + least, F.lit(start)).otherwise(0.0)
+    return files.withColumn("start", begin).withColumn("seconds", F.least(F.lit(seconds), d - F.col("start")))
+
+
 def consistency(first: DataFrame, more: DataFrame, key: str = "k") -> DataFrame:
     """Cutoff spread in two steps: rows of `more` count only for keys whose first spread lies in 500..1000 Hz.
 

@@ -44,21 +44,53 @@ def top_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).select("doc_id", manifest.top_label(F.col("path"), "/lib").alias("label"))
 
 
-@query("""WITH l AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Exact Audio Copy V1.3' WHEN 1 THEN 'X Lossless Decoder version 2' WHEN 2 THEN 'CUERipper v2' WHEN 3 THEN 'AUDIOCHECKER XLD' WHEN 4 THEN 'Exact Audio Copy, AUDIOCHECKER' ELSE '' END || text AS head FROM documents)
-SELECT doc_id, CASE WHEN contains(head, 'Exact Audio Copy') THEN 'EAC' WHEN contains(head, 'X Lossless Decoder') THEN 'XLD' WHEN contains(head, 'CUERipper') THEN 'CUERipper' WHEN contains(head, 'AUDIOCHECKER') THEN 'Audiochecker' END AS ripper FROM l""")
+_HEADS = ["Exact Audio Copy V1.3", "X Lossless Decoder version 2", "CUERipper v2", "AUDIOCHECKER XLD", "Exact Audio Copy, AUDIOCHECKER", "", "EAC extraction logfile from", "XLD extraction logfile from"]
+
+
+@query(f"""WITH l AS (SELECT doc_id, ([{", ".join(f"'{h}'" for h in _HEADS)}])[CAST(doc_id % 8 + 1 AS INTEGER)] || text AS head FROM documents)
+SELECT doc_id, CASE WHEN contains(head, 'Exact Audio Copy') OR contains(head, 'EAC extraction logfile') THEN 'EAC' WHEN contains(head, 'X Lossless Decoder') OR contains(head, 'XLD extraction logfile') THEN 'XLD'
+  WHEN contains(head, 'CUERipper') THEN 'CUERipper' WHEN contains(head, 'AUDIOCHECKER') THEN 'Audiochecker' END AS ripper FROM l""")
 def evidence_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id")
-    mark = F.when(k % 6 == 0, "Exact Audio Copy V1.3").when(k % 6 == 1, "X Lossless Decoder version 2").when(k % 6 == 2, "CUERipper v2").when(k % 6 == 3, "AUDIOCHECKER XLD").when(k % 6 == 4, "Exact Audio Copy, AUDIOCHECKER").otherwise("")
+    mark = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("doc_id") % 8 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", manifest.ripper(F.concat(mark, "text")).alias("ripper"))
 
 
-@query("""SELECT doc_id, '0' || (doc_id % 9) || ' - Track.flac' AS file, CASE WHEN doc_id % 2 = 0 THEN 'CDDA (100%)' ELSE 'MPEG (95%)' END AS status FROM documents
-UNION ALL SELECT doc_id, 'b' || doc_id || '.flac', 'CDDA (100%)' FROM documents WHERE doc_id % 5 = 0""")
+#: A log for each document: tracks with and without blanks around the marks, after other words, and of other kinds.
+LOGS_SQL = """logs AS (SELECT doc_id, 'AUDIOCHECKER' || chr(10) || ' 1 -=- 0' || (doc_id % 9) || ' - Track.flac -=- ' || CASE WHEN doc_id % 2 = 0 THEN 'CDDA (100%)' ELSE 'MPEG (95%)  ' END || chr(10)
+ || CASE WHEN doc_id % 5 = 0 THEN '2-=-b' || doc_id || '.FLAC-=-CDDA (100%)' || chr(10) ELSE 'no track' || chr(10) END || CASE WHEN doc_id % 7 = 0 THEN 'Track 3 -=- c.mp3 -=- CDDA (100%)' || chr(13) || chr(10) || 'Track 4 -=- c.flac -=- CDDA (99%)' ELSE '' END AS text FROM documents)"""
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    text = F.concat(
+        F.lit("AUDIOCHECKER\n 1 -=- 0"), (k % 9).cast("string"), F.lit(" - Track.flac -=- "), F.when(k % 2 == 0, "CDDA (100%)").otherwise("MPEG (95%)  "), F.lit("\n"),
+        F.when(k % 5 == 0, F.format_string("2-=-b%d.FLAC-=-CDDA (100%%)\n", k)).otherwise("no track\n"), F.when(k % 7 == 0, "Track 3 -=- c.mp3 -=- CDDA (100%)\r\nTrack 4 -=- c.flac -=- CDDA (99%)").otherwise(""),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+_TRACK_SQL = r"'\d+\s*-=-\s*([^\r\n]+\.(?:flac|FLAC))\s*-=-\s*([^\r\n]+)'"
+
+
+@query(f"WITH {LOGS_SQL}, t AS (SELECT doc_id, unnest(regexp_extract_all(text, {_TRACK_SQL}, 1)) AS file, unnest(regexp_extract_all(text, {_TRACK_SQL}, 2)) AS status FROM logs) SELECT doc_id, file, trim(status) AS status FROM t")
 def track_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tracks(logs(spark, sf_dir))
+
+
+@query(f"""WITH {LOGS_SQL}, d AS (SELECT l.doc_id, '/lib/' || source || '/' || lang || '/' AS folder, l.text, CASE WHEN l.doc_id % 3 = 0 THEN 'Audiochecker' WHEN l.doc_id % 3 = 1 THEN 'EAC' END AS ripper FROM logs l JOIN documents USING (doc_id)),
+files AS (SELECT DISTINCT folder || '0' || (doc_id % 9) || ' - Track.flac' AS path FROM d UNION SELECT DISTINCT folder || 'cd1/' || (doc_id % 4) || '.flac' FROM d),
+t AS (SELECT folder, ripper, unnest(regexp_extract_all(text, {_TRACK_SQL}, 1)) AS file, unnest(regexp_extract_all(text, {_TRACK_SQL}, 2)) AS status FROM d WHERE ripper = 'Audiochecker'),
+e AS (SELECT folder || file AS path, 'audiochecker_cdda100' AS source, ripper FROM t WHERE contains(status, 'CDDA (100%)') AND folder || file IN (SELECT path FROM files)
+  UNION ALL SELECT path, 'eac', ripper FROM d JOIN files ON starts_with(path, folder) WHERE ripper = 'EAC')
+SELECT path, source, ripper, array_to_string(list_slice(string_split(substr(path, 6), '/'), 1, 2), '/') AS top_label, count(*) AS n FROM e GROUP BY ALL""")
+def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file that a log vouches for, as often as one does: logs of checked tracks and logs that vouch for a folder."""
     k = F.col("doc_id")
-    status = F.when(k % 2 == 0, "CDDA (100%)").otherwise("MPEG (95%)")
-    log = F.concat(F.lit("AUDIOCHECKER\n 1 -=- "), F.format_string("0%d - Track.flac", k % 9), F.lit(" -=- "), status, F.lit("\n"), F.when(k % 5 == 0, F.format_string(" 2 -=- b%d.flac -=- CDDA (100%%)\n", k)).otherwise("\n"))
-    return manifest.tracks(table(spark, sf_dir, "documents").select("doc_id", log.alias("text")))
+    folder = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/lib/"), "source", F.lit("/"), "lang", F.lit("/")).alias("folder"))
+    met = logs(spark, sf_dir).join(folder, "doc_id").select(k, "folder", "text", F.concat("folder", k.cast("string"), F.lit(".log")).alias("log_path"), F.when(k % 3 == 0, "Audiochecker").when(k % 3 == 1, "EAC").alias("ripper"))
+    files = met.select(F.explode(F.array(F.concat("folder", F.format_string("0%d - Track.flac", k % 9)), F.concat("folder", F.format_string("cd1/%d.flac", k % 4)))).alias("path")).distinct()
+    found = manifest.collect(met.select("log_path", "text", "ripper"), files, "/lib")
+    return found.groupBy("path", "source", "ripper", "top_label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT y, split, count(*) AS n FROM (SELECT y, CASE WHEN pos <= k THEN 'test' WHEN pos <= 2 * k THEN 'val' ELSE 'train' END AS split FROM (SELECT quality AS y, row_number() OVER (PARTITION BY quality ORDER BY (doc_id * 7919) % 104729, doc_id) AS pos, round_even(0.15::DOUBLE * count(*) OVER (PARTITION BY quality), 0) AS k FROM labels)) GROUP BY ALL")
@@ -86,9 +118,9 @@ def focal_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").groupBy(F.col("quality").alias("y")).agg(F.round(manifest.focal_loss(p), 6).alias("loss"))
 
 
-@query("""WITH c AS (SELECT * FROM (VALUES ('mp3_128', 'mp3'), ('mp3_192', 'mp3'), ('mp3_256', 'mp3'), ('mp3_320', 'mp3'), ('mp3_v0', 'mp3'), ('mp3_v2', 'mp3'), ('aac_192', 'm4a'), ('aac_256', 'm4a'), ('opus_128', 'opus'), ('vorbis_q5', 'ogg')) t(label, extension)) SELECT doc_id, label, extension FROM documents, c""")
+@query("""WITH c AS (SELECT * FROM (VALUES ('mp3_128', 'mp3', ''), ('mp3_192', 'mp3', ''), ('mp3_256', 'mp3', ''), ('mp3_320', 'mp3', ''), ('mp3_v0', 'mp3', '-q:a 0'), ('mp3_v2', 'mp3', '-q:a 2'), ('aac_192', 'm4a', ''), ('aac_256', 'm4a', ''), ('opus_128', 'opus', ''), ('vorbis_q5', 'ogg', '-q:a 5')) t(label, extension, arguments)) SELECT doc_id, label, extension, arguments FROM documents, c""")
 def codec_cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookups.codec_jobs(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "label", "extension")
+    return lookups.codec_jobs(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "label", "extension", "arguments")
 
 
 @query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '/data/authentic/' || doc_id || '.flac' ELSE '/data/transcoded/' || (CASE WHEN doc_id % 3 = 1 THEN 'mp3_128' ELSE 'opus_128' END) || '/' || doc_id || '.flac' END AS path FROM documents)
@@ -120,6 +152,36 @@ def band_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).select("vec_id", F.round(F.aggregate(masked, F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
 
 
-@query()
+@query(f"""WITH {FRAMES_SQL}, o AS (SELECT *, (vec_id * 7919) % 104729 AS ord FROM e), r AS (SELECT *, coalesce(lead(vec_id) OVER w, first_value(vec_id) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS partner FROM o WINDOW w AS (ORDER BY ord, vec_id))
+SELECT r.vec_id, partner, round(list_sum(list_transform(range(64), lambda i: (0.7::DOUBLE * r.samples[CAST(i + 1 AS INTEGER)] + 0.3::DOUBLE * p.samples[CAST(i + 1 AS INTEGER)]) * (i + 1))), 5) AS total FROM r JOIN e p ON p.vec_id = partner""")
 def mixup_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.mixup(frames(spark, sf_dir), "vec_id", F.lit(0.7), 42).select("vec_id", "mixed")
+    """The ring in ranges of 100 rows is the ring over all rows."""
+    mixed = manifest.mixup(frames(spark, sf_dir), "vec_id", F.lit(0.7), (F.col("vec_id") * 7919) % 104729, 104729, per_range=100)
+    total = F.aggregate(F.transform("mixed", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return mixed.select("vec_id", "partner", F.round(total, 5).alias("total"))
+
+
+@query(f"""WITH {FRAMES_SQL}, c AS (SELECT vec_id, i // 8 AS b, i % 8 AS t, samples[CAST(i + 1 AS INTEGER)] AS v FROM e, (SELECT unnest(range(64)) AS i))
+SELECT vec_id, round(sum(CASE WHEN b = vec_id % 8 OR (b >= 2 AND b < 2 + vec_id % 3) OR (t >= vec_id % 5 AND t < vec_id % 5 + 2) OR t = 7 THEN -1 ELSE v END * (b * 8 + t + 1)), 5) AS total FROM c GROUP BY vec_id""")
+def spec_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two masks on each axis of an 8 by 8 grid."""
+    k = F.col("vec_id")
+    grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.slice("samples", b * 8 + 1, F.lit(8)))
+    masked = manifest.spec_augment(grid, [(k % 8, F.lit(1)), (F.lit(2), k % 3)], [(k % 5, F.lit(2)), (F.lit(7), F.lit(1))])
+    flat = F.transform(F.flatten(masked), lambda v, i: v * (i + 1))
+    return frames(spark, sf_dir).select("vec_id", F.round(F.aggregate(flat, F.lit(0.0), lambda s, v: s + v), 5).alias("total"))
+
+
+@query("""WITH p AS (SELECT page_id, 'C:\\Music\\' || (page_id % 5) || '\\' || page_id || '.flac' AS path, CASE WHEN page_id % 2 = 0 THEN 'D:\\Sets\\' || page_id ELSE 'e:/' END AS folder FROM pages)
+SELECT page_id, (page_id % 5) || '/' || page_id || '.flac' AS relative, CASE WHEN page_id % 2 = 0 THEN '/d/Sets/' || page_id || '/' ELSE '/e/' END AS shell, '/out/mp3_128/' || (page_id % 5) || '/' || page_id || '.flac' AS target FROM p""")
+def path_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    path = F.concat(F.lit("C:\\Music\\"), (k % 5).cast("string"), F.lit("\\"), k.cast("string"), F.lit(".flac"))
+    folder = F.when(k % 2 == 0, F.concat(F.lit("D:\\Sets\\"), k.cast("string"))).otherwise("e:/")
+    root = "c:/music"
+    return table(spark, sf_dir, "pages").select(k, lookups.relative_path(path, root).alias("relative"), lookups.shell_path(folder).alias("shell"), lookups.target_path(path, root, "/out", F.lit("mp3_128")).alias("target"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..operators import report
-from .adaptors import table
+from ..operators import lookups, report
+from .adaptors import RATES, table
 from .registry import query
 
 RESULTS_SQL = """r AS (SELECT o_orderkey AS k, 'lib/' || (o_orderkey % 40) || '/' || o_orderkey || '.flac' AS filepath, 'd' || (o_orderkey % 40) AS folder,
@@ -133,9 +133,10 @@ def critical_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues(spark, sf_dir).where(report.has_critical()).select("user_id")
 
 
-@query("SELECT CAST(o_custkey AS BIGINT) AS c_custkey FROM (SELECT c_custkey AS o_custkey FROM customer) c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.o_custkey)")
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 300000)")
 def pending_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without a large order yet: some have one, some have none."""
+    done = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return report.pending(table(spark, sf_dir, "customer").select("c_custkey"), done, "c_custkey")
 
 
@@ -149,3 +150,69 @@ def append_non_audio_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = (k % 101).cast("int")
     flac = files.where("ext = 'flac'").select("filepath", score.alias("score"), R.verdict(score).alias("verdict"))
     return report.other_audio_rows(files).unionByName(flac, allowMissingColumns=True).select("filepath", "score", "verdict", "reason")
+
+
+@query(f"WITH {RESULTS_SQL} SELECT count(*) AS n_files, round(avg(score), 6) AS avg_score FROM r")
+def average_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(spark, sf_dir).agg(F.count("*").alias("n_files"), F.round(F.avg("score"), 6).alias("avg_score"))
+
+
+@query(f"WITH {RESULTS_SQL} SELECT k, score, verdict FROM r WHERE (k % 2 = 1 AND score >= 50) OR (verdict = 'AUTHENTIC' AND k % 6 IN (1, 3, 4))")
+def attribute_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deep files that are suspicious, and authentic ones of a high rate."""
+    k = F.col("k")
+    rate = F.element_at(F.array(*map(F.lit, RATES)), (k % 6 + 1).cast("int"))
+    rows = results(spark, sf_dir).withColumns({"bit_depth": F.when(k % 2 == 0, 16).otherwise(24), "sample_rate": rate})
+    high = F.col("sample_rate").isin(48000, 96000, 192000)
+    return rows.where(((F.col("bit_depth") == 24) & (F.col("score") >= 50)) | ((F.col("verdict") == "AUTHENTIC") & high)).select("k", "score", "verdict")
+
+
+@query(f"WITH {RESULTS_SQL} SELECT filepath FROM r WHERE score >= 61 AND verdict <> 'NON_FLAC'")
+def quarantine_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the JSON lines of a report: each row written as JSON, read again and filtered."""
+    lines = results(spark, sf_dir).select(F.to_json(F.struct("filepath", "score", "verdict")).alias("j"))
+    rows = lines.select(F.from_json("j", "filepath string, score int, verdict string").alias("r")).select("r.*")
+    return rows.where("score >= 61 and verdict <> 'NON_FLAC'").select("filepath")
+
+
+@query(f"""WITH {RESULTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY k) AS place, count(*) OVER (PARTITION BY folder) AS total FROM r)
+SELECT k, printf('[%03d/%03d] ', place, total) || CASE WHEN score >= 80 THEN '❌ FAKE        ' WHEN score >= 50 THEN '⚠️  SUSPICIOUS  ' WHEN score >= 30 THEN '❓ WARNING     ' ELSE '✅ AUTHENTIC   ' END || lpad(score || '/100', 8, ' ') || '  ' || CASE WHEN length(name) > 50 THEN substr(name, 1, 47) || '...' ELSE name END AS line,
+ CASE WHEN score >= 80 THEN '[FAKE]' WHEN score >= 50 THEN '[SUSP]' WHEN score >= 30 THEN '[?]' ELSE '[OK]' END AS icon FROM (SELECT *, repeat('x', CAST(k % 60 AS INTEGER)) || k || '.flac' AS name FROM n)""")
+def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    inside = Window.partitionBy("folder")
+    rows = results(spark, sf_dir).withColumns({"place": F.row_number().over(inside.orderBy("k")), "total": F.count("*").over(inside), "filename": F.concat(F.repeat(F.lit("x"), (k % 60).cast("int")), k.cast("string"), F.lit(".flac"))})
+    return rows.select(k, report.console_line(F.col("place"), F.col("total")).alias("line"), report.console_icon(F.col("score")).alias("icon"))
+
+
+@query(f"""WITH {RESULTS_SQL} SELECT ' ' || CASE WHEN score >= 80 THEN '[XX]' ELSE '[!!]' END || ' | ' || rpad(score || '/100', 7, ' ') || ' | ' || rpad(verdict, 15, ' ') || ' | 0.0k     | -        | ' || k || '.flac' AS line FROM r WHERE score >= 50 AND verdict IN ('SUSPICIOUS', 'FAKE_CERTAIN')""")
+def report_line_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's lines of two verdicts."""
+    rows = results(spark, sf_dir).withColumns({"filename": F.format_string("%d.flac", "k"), "cutoff_freq": F.lit(0.0), "estimated_mp3_bitrate": F.lit(0), "suspected_original_rate": F.lit(0)})
+    return report.lines_with(report.text_lines(rows, []), "SUSPICIOUS ", "FAKE_CERTAIN").where("part = 2").select("line")
+
+
+@query("SELECT o_orderkey AS k, 'report_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '.txt' AS name, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso FROM orders")
+def dated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), report.dated_name("report", day, "txt").alias("name"), F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS fixed, count(*) FILTER (o_orderstatus = 'P') AS skipped, count(*) FILTER (o_orderstatus = 'O') AS errors FROM orders")
+def repair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").alias("success"), (F.col("o_orderstatus") == "P").alias("skipped"))
+    return lookups.repair_summary(rows)
+
+
+@query(f"WITH {ISSUES_SQL} SELECT CAST(user_id AS VARCHAR) AS filepath, count(*) AS n_issues FROM i GROUP BY user_id")
+def issues_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = issues(spark, sf_dir)
+    return rows.join(report.files_with_issues(rows), "filepath").select("filepath", F.size("issues").cast("long").alias("n_issues"))
+
+
+@query("""WITH t AS (SELECT user_id, (['', 'CRC mismatch', 'BAD HEADER found', 'lost SYNC', 'odd', 'ok'])[CAST(user_id % 6 + 1 AS INTEGER)] AS err FROM (SELECT DISTINCT user_id FROM events))
+SELECT CAST(user_id AS VARCHAR) AS path, CASE WHEN contains(upper(err), 'CRC') THEN 'CRC_MISMATCH' WHEN contains(upper(err), 'HEADER') THEN 'BAD_HEADER' WHEN contains(upper(err), 'SYNC') THEN 'LOST_SYNC' ELSE 'UNKNOWN' END AS error_type FROM t WHERE err <> ''""")
+def integrity_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("user_id")
+    err = F.element_at(F.array(*map(F.lit, ["", "CRC mismatch", "BAD HEADER found", "lost SYNC", "odd", "ok"])), (k % 6 + 1).cast("int"))
+    return report.integrity_lists(table(spark, sf_dir, "events").select(k).distinct().select(k.cast("string").alias("path"), err.alias("stderr")))

@@ -201,10 +201,10 @@ def cutoff_threshold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("k", R.cutoff_threshold(F.col("rate")).alias("threshold"))
 
 
-@query(f"WITH {FEATURES_SQL} SELECT k, CASE WHEN k % 10 > 0 THEN round((k * 1000) * 8 / ((k % 10) * 1000.0::DOUBLE), 6) ELSE 0.0::DOUBLE END AS real_kbps, CAST(trunc(rate * depth * 2 / 1000.0::DOUBLE) AS INTEGER) AS apparent_kbps, 0.0::DOUBLE AS spread FROM f")
+@query(f"WITH {FEATURES_SQL} SELECT k, CASE WHEN k % 10 > 0 THEN round((k * 1000) * 8 / ((k % 10) * 1000.0::DOUBLE), 6) ELSE 0.0::DOUBLE END AS real_kbps, CAST(trunc(rate * depth * 2 / 1000.0::DOUBLE) AS INTEGER) AS apparent_kbps, round(list_aggregate(list_transform(range(10), lambda i: CASE WHEN k % 10 > 0 THEN (k * 100) * 8 / ((k % 10) / 10.0::DOUBLE * 1000) ELSE 0 END), 'stddev_pop'), 6) AS spread FROM f")
 def bitrates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
-    return features(spark, sf_dir).select("k", F.round(R.real_bitrate(k * 1000, (k % 10).cast("double")), 6).alias("real_kbps"), R.apparent_bitrate(F.col("rate"), F.col("depth"), F.lit(2)).alias("apparent_kbps"), F.lit(0.0).alias("spread"))
+    return features(spark, sf_dir).select("k", F.round(R.real_bitrate(k * 1000, (k % 10).cast("double")), 6).alias("real_kbps"), R.apparent_bitrate(F.col("rate"), F.col("depth"), F.lit(2)).alias("apparent_kbps"), F.round(R.bitrate_spread(k * 1000, (k % 10).cast("double")), 6).alias("spread"))
 
 
 @query(f"""WITH {FEATURES_SQL}, g AS (SELECT k, rate, abs(CAST(trunc((k % 300 + 0.5::DOUBLE) * rate) AS BIGINT) - CAST(trunc((k % 300 + 0.5::DOUBLE + gap_ms / 50000) * rate) AS BIGINT)) AS gap FROM f)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import vector_udfs
 from ..operators import quality, segments, signal_sql as S
 from .adaptors import FEATURES_SQL, FRAMES_SQL, SIGNALS_SQL, features, frames, signals
@@ -135,7 +137,7 @@ def corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("k", bad.alias("is_corrupted"), partial.alias("partial"))
 
 
-@query(f"""WITH {FEATURES_SQL}, g AS (SELECT k, rate, CAST(k % 400 AS DOUBLE) AS d FROM f WHERE k % 10 = 0), n AS (SELECT *, CASE WHEN d > 90 THEN 3 ELSE 1 END AS n FROM g), x AS (SELECT k, rate, d, n, CAST(unnest(range(n)) AS INTEGER) AS seg FROM n), y AS (SELECT *, least(30.0::DOUBLE, d / n) AS len FROM x)
+@query(f"""WITH {FEATURES_SQL}, g AS (SELECT k, rate, CAST(k % 400 AS DOUBLE) AS d FROM f), n AS (SELECT *, CASE WHEN d > 90 THEN 3 ELSE 1 END AS n FROM g), x AS (SELECT k, rate, d, n, CAST(unnest(range(n)) AS INTEGER) AS seg FROM n), y AS (SELECT *, least(30.0::DOUBLE, d / n) AS len FROM x)
 SELECT k, seg, CAST(trunc(greatest(0, d / (n + 1) * (seg + 1) - len / 2) * rate) AS BIGINT) AS start, CAST(trunc(len * rate) AS BIGINT) AS frames FROM y""")
 def segment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = features(spark, sf_dir).select("k", "rate", (F.col("k") % 400).cast("double").alias("duration"))
@@ -156,11 +158,66 @@ def minmax_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.select("vec_id", F.round(F.aggregate("y", F.lit(0.0), lambda s, v: s + F.abs(v)), 5).alias("total"))
 
 
+@query(f"WITH {FEATURES_SQL}, g AS (SELECT k, CAST(k % 90 AS DOUBLE) AS d FROM f) SELECT k, CASE WHEN d > 30 THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END AS start, least(30.0::DOUBLE, CASE WHEN d > 30 THEN d - 30 ELSE d END) AS seconds FROM g")
+def trim_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = features(spark, sf_dir).select("k", (F.col("k") % 90).cast("double").alias("duration"))
+    return segments.trim_plan(files).select("k", "start", "seconds")
+
+
+@query(f"WITH {SIGNALS_SQL}, c AS (SELECT sig, idx % 2 AS channel, avg(x - 0.49::DOUBLE) AS m FROM s GROUP BY ALL), p AS (SELECT sig, avg(m) AS m FROM c GROUP BY sig) SELECT sig, round(m, 6) AS dc_offset, CASE WHEN abs(m) < 0.001::DOUBLE THEN 'none' WHEN abs(m) < 0.01::DOUBLE THEN 'light' WHEN abs(m) < 0.05::DOUBLE THEN 'moderate' ELSE 'severe' END AS severity FROM p")
+def dc_offset_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = signals(spark, sf_dir).withColumns({"x": F.col("x") - 0.49, "channel": F.col("idx") % 2})
+    return quality.dc_offset_channels(rows).select("sig", F.round("offset", 6).alias("dc_offset"), "severity")
+
+
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signal a row: sig, samples."""
+    return signals(spark, sf_dir).groupBy("sig").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "x"))), lambda s: s["x"]).alias("samples"))
+
+
+@query(f"""WITH {SIGNALS_SQL}, n AS (SELECT sig, count(*) AS n FROM s GROUP BY sig), w AS (SELECT sig, idx, x FROM s UNION ALL SELECT sig, -1 - i, 0 FROM n, (SELECT unnest(range(3)) AS i) UNION ALL SELECT sig, n + i, 0 FROM n, (SELECT unnest(range(3)) AS i)),
+m AS (SELECT sig, idx, median(x) OVER (PARTITION BY sig ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM w) SELECT sig, idx, round(m, 6) AS value FROM m JOIN n USING (sig) WHERE idx >= 0 AND idx < n""")
+def median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the kernel that the click and pre-echo detectors use."""
+    return vector_udfs.mapped(whole(spark, sf_dir), "sig", lambda x: K.median_filter(x, 7, block=16)).select("sig", F.posexplode("values").alias("idx", "v")).select("sig", F.col("idx").cast("long").alias("idx"), F.round("v", 6).alias("value"))
+
+
+@query(f"WITH {SIGNALS_SQL}, w AS (SELECT *, lag(x) OVER (PARTITION BY sig ORDER BY idx) AS a, lead(x) OVER (PARTITION BY sig ORDER BY idx) AS b FROM s) SELECT sig, idx FROM w WHERE x > a AND x > b AND x >= 0.5::DOUBLE")
+def local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the kernel of the detectors, without a least distance (no two neighbours of a signal are equal in the data)."""
+    return vector_udfs.mapped(whole(spark, sf_dir), "sig", lambda x: K.peaks(x, 0.5, 1)).select("sig", F.explode("values").alias("v")).select("sig", F.col("v").cast("long").alias("idx"))
+
+
+@query(f"""WITH {FRAMES_SQL}, b AS (SELECT vec_id, bin, samples FROM e, (SELECT unnest(range(8, 16)) AS bin)), p AS (SELECT vec_id, bin, i, samples[CAST(i + 1 AS INTEGER)] * (0.5 - 0.5 * cos(i * (2 * pi()) / 63)) AS v FROM b, (SELECT unnest(range(64)) AS i)),
+d AS (SELECT vec_id, bin, pow(sum(v * cos(i * bin * (2 * pi() / 64))), 2) + pow(sum(v * sin(i * bin * (2 * pi() / 64))), 2) AS power FROM p GROUP BY vec_id, bin) SELECT vec_id, round(sum(power) / 64, 6) AS energy FROM d GROUP BY vec_id""")
+def band_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy of bins 8 to 15 at a rate of 64, by the kernel."""
+    found = vector_udfs.mapped(frames(spark, sf_dir), "vec_id", lambda x: np.array([K.band_energy(x, 64.0, 8.0, 16.0)]))
+    return found.select("vec_id", F.round(F.get("values", F.lit(0)), 6).alias("energy"))
+
+
+def _filter_sql() -> str:
+    """The filter's difference equation, sample after sample; its factors are made anew from zeros, poles and gain."""
+    zeros, poles, gain = K.butterworth(2, "bandpass", 8_000.0, 12_000.0, 44_100.0)
+    b, a = (gain * np.real(np.poly(zeros))).tolist(), np.real(np.poly(poles)).tolist()
+    past = " + ".join(f"{c!r}::DOUBLE * coalesce(xs[CAST(i + 1 - {k} AS INTEGER)], 0)" if k <= 0 else f"CASE WHEN i >= {k} THEN {c!r}::DOUBLE * xs[CAST(i + 1 - {k} AS INTEGER)] ELSE 0 END" for k, c in enumerate(b))
+    back = " ".join(f"- CASE WHEN i >= {k} THEN {c!r}::DOUBLE * ys[CAST(i + 1 - {k} AS INTEGER)] ELSE 0 END" for k, c in enumerate(a) if k)
+    return f"""WITH RECURSIVE {SIGNALS_SQL}, w AS (SELECT sig, list(x ORDER BY idx) AS xs FROM s GROUP BY sig),
+r AS (SELECT sig, xs, 0 AS i, CAST([] AS DOUBLE[]) AS ys FROM w UNION ALL SELECT sig, xs, i + 1, list_append(ys, CAST({past} {back} AS DOUBLE)) FROM r WHERE i < len(xs))
+SELECT sig, CAST(unnest(range(len(ys))) AS BIGINT) AS idx, round(unnest(ys), 6) AS value FROM r WHERE i = len(xs)"""
+
+
+@query(_filter_sql())
+def bandpass_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the kernel, a convolution with the impulse response."""
+    found = vector_udfs.mapped(whole(spark, sf_dir), "sig", lambda x: K.bandpass(x, 44_100.0, 8_000.0, 12_000.0, 2))
+    return found.select("sig", F.posexplode("values").alias("idx", "v")).select("sig", F.col("idx").cast("long").alias("idx"), F.round("v", 6).alias("value"))
+
+
 @query()
 def kernel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters, envelope, transients, pre-echo, aliasing and MP3 pattern of signals, by the array kernels."""
-    rows = signals(spark, sf_dir).groupBy("sig").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "x"))), lambda s: s["x"]).alias("samples"))
-    return vector_udfs.artifact_features(rows, "sig", 44100)
+    return vector_udfs.artifact_features(whole(spark, sf_dir), "sig", 44100)
 
 
 @query()

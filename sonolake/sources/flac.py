@@ -55,6 +55,8 @@ def comments(block: bytes) -> tuple[str, dict[str, list[str]]]:
     tags: dict[str, list[str]] = {}
     for _ in range(count):
         n = struct.unpack_from("<I", block, at)[0]
+        if at + 4 + n > len(block):
+            raise struct.error("a tag is longer than its block")
         key, _, value = block[at + 4 : at + 4 + n].decode("utf-8", "replace").partition("=")
         tags.setdefault(key.upper(), []).append(value)
         at += 4 + n

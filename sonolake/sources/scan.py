@@ -1,4 +1,4 @@
-"""File scans: paths and sizes without reading bodies, FLAC or other audio by extension."""
+"""File scans: paths and sizes without reading bodies, FLAC or other audio by extension. Spark's file source lists no file of 0 bytes."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import OTHER_AUDIO
+from ..runtime import hadoop_path
 
 
 def split_paths(text: str) -> list[str]:
     """Several paths in one string: split at ;, or else at commas; a pair of quotes around a path goes."""
     parts = text.split(";" if ";" in text else ",")
-    return [c for p in parts if (c := re.sub(r"""^(["'])(.*)\1$""", r"\2", p.strip()))]
+    return [c for p in parts if (c := unquoted(p))]
 
 
 def extension(path: Column) -> Column:
@@ -30,10 +31,30 @@ def classify(files: DataFrame) -> DataFrame:
     return files.withColumns({"filename": F.element_at(F.split("path", "/"), -1), "ext": extension(F.col("path")), "kind": kind(F.col("path"))}).where("kind is not null")
 
 
-def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, length, modificationTime, filename, ext, kind of audio files below the folders; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    return classify(files.select("path", "length", "modificationTime"))
+def unquoted(path: str) -> str:
+    return re.sub(r"""^(["'])(.*)\1$""", r"\2", path.strip())
+
+
+def existing(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
+    """The paths that exist, without quotes around them, and those that don't; empty ones are left out."""
+    found: list[str] = []
+    missing: list[str] = []
+    for p in filter(None, map(unquoted, paths)):
+        files, path = hadoop_path(spark, p)
+        (found if files.exists(path) else missing).append(p)
+    return found, missing
+
+
+def scan_files(spark: SparkSession, paths: list[str], pattern: str | None = None) -> DataFrame:
+    """path, length, modificationTime, filename, ext, kind of audio files below the folders; contents are not read.
+
+    With a pattern, all files whose name it matches (wav scans, ripping logs); kind may be null then.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "length", "modificationTime")
+    if pattern is None:
+        return classify(files)
+    named = files.withColumns({"filename": F.element_at(F.split("path", "/"), -1), "ext": extension(F.col("path")), "kind": kind(F.col("path"))})
+    return named.where(F.col("filename").rlike(pattern))
 
 
 def contents(spark: SparkSession, paths: list[str], glob: str = "*") -> DataFrame:

@@ -9,9 +9,11 @@ import wave
 import numpy as np
 
 
-def read_wav(data: bytes, start: int = 0, frames: int | None = None) -> tuple[np.ndarray, int, int]:
-    """(frames, channels) in [-1, 1), sample rate, bit depth of a slice of frames."""
+def read_wav(data: bytes, start: int = 0, frames: int | None = None) -> tuple[np.ndarray, int, int, int]:
+    """(frames, channels) in [-1, 1) of a slice of frames; sample rate, bit depth and frames of the whole file."""
     with wave.open(io.BytesIO(data)) as w:
+        if not w.getframerate():
+            raise ValueError("a sample rate of 0")
         rate, width, channels, total = w.getframerate(), w.getsampwidth(), w.getnchannels(), w.getnframes()
         w.setpos(min(start, total))
         raw = w.readframes(max(0, min(total - start, frames if frames is not None else total)))
@@ -22,7 +24,7 @@ def read_wav(data: bytes, start: int = 0, frames: int | None = None) -> tuple[np
         ints = np.frombuffer(raw, np.uint8).astype(np.int32) - 128
     else:
         ints = np.frombuffer(raw, "<i2" if width == 2 else "<i4").astype(np.int64)
-    return (ints / float(1 << (8 * width - 1))).reshape(-1, channels), rate, 8 * width
+    return (ints / float(1 << (8 * width - 1))).reshape(-1, channels), rate, 8 * width, total
 
 
 def write_wav(x: np.ndarray, rate: int, depth: int = 16) -> bytes:
