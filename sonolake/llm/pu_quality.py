@@ -8,7 +8,7 @@ non-negative unbiased risk, where pi is the estimated share of positives among U
 plus a small ridge on the weights. With the logistic loss l(g) - l(-g) = -g, so what stands left of max is convex on either side of
 the clip: the risk is the larger of two convex functions, the unbiased risk A and the clipped one C (without the second
 term). Its minimum is found by its dual: minimise t A + (1 - t) C, smooth and convex, by Newton steps; the second term at that
-minimum falls with t, so t is 1 if it is not negative there, and otherwise the t at which it is 0, by bisection. U is
+minimum falls with t, so t is 1 if it is not negative there, 0 if it is still negative at 0, and otherwise the t at which it is 0, by bisection. U is
 every document that trains and has no label; gradients and curvatures are sums over all of them, made by the executors.
 
 pi is estimated from P and U alone: a first model tells P from U, and of all score thresholds that one counts whose share of U,
@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 from .common import fold, materialise, ready, text_bytes
 from .rule_stats import base_counts
 
-STEPS = 10
+#: Passes over the rows for one t at most, and the expected gain of a step that ends them.
+STEPS = 25
+TOLERANCE = 1e-6
 #: Weight of the squared weights.
 RIDGE = 1e-4
-#: Halvings of the dual's t.
-HALVINGS = 6
+#: Values of the dual's t that are tried, on a logarithmic scale.
+HALVINGS = 12
 #: Score bins of the prior's estimate, and the chance that its margin may fail with.
 BINS = 1000
 DELTA = 0.1
@@ -105,33 +107,38 @@ def sums(rows: DataFrame, w: np.ndarray) -> np.ndarray:
     return out
 
 
-def minimise(rows: DataFrame, prior: float, t: float, w: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float] | None:
-    """Weights that minimise t A + (1 - t) C plus the ridge, from w on, and the second term there; None without positives or unlabelled rows.
+def minimise(rows: DataFrame, prior: float, t: float, w: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float, float] | None:
+    """Weights that minimise t A + (1 - t) C plus the ridge, from w on, with the second term and the clipped risk there; None without positives or unlabelled rows.
 
-    The mixture's gradient over U is t times that of A, and over P that of pi * l(g) less t times that of pi * l(-g).
+    Newton steps, halved while they make it worse. A step costs one pass over the rows.
     """
-    d = WIDTH
+    d, last, step = WIDTH, None, np.zeros(WIDTH)
     weight = np.full(d, RIDGE)
     weight[-1] = 1e-8
-    for _ in range(steps + 1):
+    for _ in range(steps):
         s = sums(rows, w)
         n_u, loss_u, grad_u, curve_u = s[0], s[1], s[2 : 2 + d], s[2 + d : 2 + d + d * d].reshape(d, d)
-        n_p, _, loss_np = s[2 + d + d * d : 5 + d + d * d]
+        n_p, loss_p, loss_np = s[2 + d + d * d : 5 + d + d * d]
         sum_p, grad_p, curve_p = s[5 + d + d * d : 5 + 2 * d + d * d], s[5 + 2 * d + d * d : 5 + 3 * d + d * d], s[5 + 3 * d + d * d :].reshape(d, d)
         if not n_p or not n_u:
             return None
-        second = loss_u / n_u - prior * loss_np / n_p
+        second, ridge = loss_u / n_u - prior * loss_np / n_p, float(weight @ (w * w)) / 2
+        value = prior * loss_p / n_p + t * second + ridge
+        if last is not None and value > last[0] + 1e-12:
+            if np.abs(step).max() < 1e-6:
+                break
+            step, w = step / 2, last[1] - step / 2
+            continue
+        last = value, w, second, prior * loss_p / n_p + max(0.0, second) + ridge
         # over P: l(g) has the gradient (sigmoid - 1) x, l(-g) the gradient sigmoid x
         gradient = t * grad_u / n_u + prior * ((1 - t) * grad_p - sum_p) / n_p + weight * w
         curve = t * curve_u / n_u + (1 - t) * prior * curve_p / n_p + np.diag(weight + 1e-9)
         step = np.linalg.solve(curve, gradient)
-        if float(gradient @ step) < 1e-6:
+        if float(gradient @ step) < TOLERANCE:
             break
-        w = w - step * min(1.0, MOST_STEP / max(1e-9, float(np.abs(step).max())))
-    else:
-        s = sums(rows, w)
-        second = s[1] / s[0] - prior * s[2 + d + d * d + 2] / s[2 + d + d * d]
-    return w, second
+        step = step * min(1.0, MOST_STEP / max(1e-9, float(np.abs(step).max())))
+        w = w - step
+    return last[1:]
 
 
 def fit(rows: DataFrame, prior: float, steps: int = STEPS) -> np.ndarray | None:
@@ -139,17 +146,13 @@ def fit(rows: DataFrame, prior: float, steps: int = STEPS) -> np.ndarray | None:
     found = minimise(rows, prior, 1.0, np.zeros(WIDTH), steps)
     if found is None or found[1] >= 0:
         return found and found[0]
-    # the term is negative at high, and is not at low, where the weights are kept
-    (high_w, _), low, high = found, 0.0, 1.0
-    kept = None
-    for _ in range(HALVINGS):
-        t = (low + high) / 2
-        w, second = minimise(rows, prior, t, kept if kept is not None else high_w, steps)
-        if second >= 0:
-            low, kept = t, w
-        else:
-            high, high_w = t, w
-    return kept if kept is not None else minimise(rows, prior, low, high_w, steps)[0]
+    low, high, tried = 0.0, 1.0, [found, minimise(rows, prior, 0.0, found[0], steps)]
+    if tried[1][1] > 0:
+        for _ in range(HALVINGS):
+            t = math.sqrt(low * high) if low else high / 8
+            tried.append(minimise(rows, prior, t, tried[-1][0], steps))
+            low, high = (t, high) if tried[-1][1] >= 0 else (low, t)
+    return min(tried, key=lambda x: x[2])[0]
 
 
 def estimate_prior(rows: DataFrame) -> float:
