@@ -170,6 +170,46 @@ def segment_rows(segments: DataFrame) -> DataFrame:
     return per_file(segments.select("path", "length", F.col("start").cast("double"), F.col("seconds").cast("double")), one, "path string, start double, seconds double, cutoff double, energy double", lambda p, n, e: (p, *[None] * 4))
 
 
+def sample_blocks(files: DataFrame, size: int = 16_384) -> DataFrame:
+    """path, start, rate, channels, samples (interleaved) of blocks of `size` frames of FLAC and WAV files (path), decoded as they are asked for.
+
+    A task holds a file's bytes and one batch of decoded frames, not all samples. Where a stream is damaged its blocks end.
+    """
+    ship_code(files.sparkSession)
+
+    def blocks(path: str) -> Iterator[tuple[int, int, np.ndarray]]:
+        data, held, at = source.read_bytes(path), [], 0
+        if path.lower().endswith(".wav"):
+            while len(part := wav.read_wav(data, at, size)[0]):
+                yield at, wav.read_wav(data, 0, 0)[1], part
+                at += len(part)
+            return
+        head = flac.read_header(data)
+        scale = float(1 << (head.bit_depth - 1))
+        try:
+            for _, x in flac.frames(data, head):
+                held.append(x)
+                while sum(map(len, held)) >= size:
+                    joined = np.concatenate(held)
+                    yield at, head.sample_rate, joined[:size] / scale
+                    at, held = at + size, [joined[size:]]
+        except flac.Broken:
+            pass
+        if sum(map(len, held)):
+            yield at, head.sample_rate, np.concatenate(held) / scale
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                try:
+                    for start, rate, x in blocks(path):
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start], pa.int64()), pa.array([rate], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([x.ravel()], pa.list_(pa.float64()))], ["path", "start", "rate", "channels", "samples"])
+                except DAMAGE:
+                    continue
+
+    return files.select("path").mapInArrow(run, "path string, start long, rate int, channels int, samples array<double>")
+
+
 def analyze(spark: SparkSession, paths: list[str], sample_seconds: float = SAMPLE_SECONDS, model: Model | None = None) -> DataFrame:
     """Result rows (report.RESULT) of all audio files below the paths: FLAC and WAV decoded, other audio as constant rows.
 

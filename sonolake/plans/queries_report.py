@@ -70,9 +70,8 @@ def avg_score_by_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RESULTS_SQL} SELECT verdict, count(*) AS n_files, round(count(*) / CAST((SELECT count(*) FROM r) AS DOUBLE), 6) AS share FROM r GROUP BY verdict")
 def verdict_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = results(spark, sf_dir)
-    total = rows.agg(F.count("*").alias("total"))
-    return rows.groupBy("verdict").agg(F.count("*").alias("n_files")).crossJoin(F.broadcast(total)).select("verdict", "n_files", F.round(F.col("n_files") / F.col("total"), 6).alias("share"))
+    counts = results(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n_files"))
+    return counts.select("verdict", "n_files", F.round(F.col("n_files") / F.sum("n_files").over(Window.partitionBy()), 6).alias("share"))
 
 
 @query(f"WITH {RESULTS_SQL} SELECT folder, count(*) AS n_files, round(avg(CASE WHEN verdict = 'FAKE_CERTAIN' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS fake_share, avg(CASE WHEN verdict = 'FAKE_CERTAIN' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) > 0.2::DOUBLE AS reject FROM r GROUP BY folder")

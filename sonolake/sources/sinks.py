@@ -93,14 +93,17 @@ def write_bytes(rows: DataFrame, folder: str) -> DataFrame:
     return rows.select("name", "content").mapInArrow(run, "name string, n_bytes long")
 
 
+def manifest_head(entries: DataFrame, root: str, logs_found: int) -> dict:
+    """What a manifest says of its files: as many numbers as there are sources, and 20 labels."""
+    by_source = {r.source: r.n for r in entries.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    top = entries.groupBy("top_label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "top_label").limit(20).collect()
+    return {"root": root, "count": sum(by_source.values()), "ripper_logs_found": logs_found, "source_breakdown": by_source, "top_20_labels": {r.top_label: r.n for r in top}}
+
+
 def write_manifest(entries: DataFrame, root: str, logs_found: int, path: str) -> None:
-    """A manifest of any size: head (one object: counts, breakdown, top labels) and files (a line each) below the path."""
-    spark = entries.sparkSession
-    by_source = entries.groupBy("source").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("source_breakdown"))
-    top = entries.groupBy("top_label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "top_label").limit(20).agg(F.map_from_entries(F.collect_list(F.struct("top_label", "n"))).alias("top_20_labels"))
-    head = spark.range(1).select(F.lit(root).alias("root"), F.lit(logs_found).alias("ripper_logs_found")).crossJoin(entries.agg(F.count("*").alias("count"))).crossJoin(by_source).crossJoin(top)
-    head.coalesce(1).write.mode("overwrite").json(f"{path}/head")
+    """A manifest of any size: head.json (counts, breakdown, top labels) and files (a line each) below the path."""
     entries.write.mode("overwrite").json(f"{path}/files")
+    write_text_file(entries.sparkSession, json.dumps(manifest_head(entries, root, logs_found), ensure_ascii=False), f"{path}/head.json")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -109,8 +112,6 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest_document(entries: DataFrame, root: str, logs_found: int) -> str:
-    """The manifest of chosen entries (path, source, ripper, top_label) as one JSON text; for sets that fit the driver."""
-    by_source = {r.source: r.n for r in entries.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    top = entries.groupBy("top_label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "top_label").limit(20).collect()
-    files = [r.asDict() for r in entries.orderBy("path").collect()]
-    return json.dumps({"root": root, "count": len(files), "ripper_logs_found": logs_found, "source_breakdown": by_source, "top_20_labels": {r.top_label: r.n for r in top}, "files": files}, ensure_ascii=False)
+    """The manifest of chosen entries (path, source, ripper, top_label) as one JSON text; for sets that fit the driver. Any size: write_manifest."""
+    files = [r.asDict() for r in entries.orderBy("path").toLocalIterator()]
+    return json.dumps(manifest_head(entries, root, logs_found) | {"files": files}, ensure_ascii=False)

@@ -237,6 +237,16 @@ def test_segments_are_decoded_alone(spark, library):
     assert abs(rows["cut.wav"].cutoff - 16_000) <= 500 and rows["en.flac"].cutoff is None
 
 
+def test_blocks_of_samples(spark, library):
+    files = spark.createDataFrame([(f"file:{library}/{n}",) for n in ("a/full.flac", "deep.wav", "broken.flac", "half.flac")], "path string")
+    rows = analysis.sample_blocks(files).collect()
+    for name, want in (("a/full.flac", flac.read_flac((library / "a/full.flac").read_bytes())[0]), ("deep.wav", wav.read_wav((library / "deep.wav").read_bytes())[0]), ("half.flac", flac.read_flac((library / "half.flac").read_bytes())[0])):
+        mine = sorted((r.start, r) for r in rows if r.path.endswith(name))
+        assert all(len(r.samples) == 16_384 * r.channels for _, r in mine[:-1]) and [s for s, _ in mine] == list(range(0, len(want), 16_384))
+        assert np.array_equal(np.concatenate([r.samples for _, r in mine]), want.ravel())
+    assert not any(r.path.endswith("broken.flac") for r in rows)
+
+
 def test_repairs_are_rows(spark, library, tmp_path):
     files = scan.scan_files(spark, [str(library)]).where("kind = 'flac'").select("path", "length")
     checked = {r.path.rsplit("/", 1)[1]: r for r in repair.check(files).collect()}
@@ -304,8 +314,9 @@ def test_manifest_steps(spark, tmp_path):
     both = logs.withColumn("ripper", F.lit("Audiochecker")).unionAll(logs.withColumn("ripper", F.lit("EAC"))).unionAll(logs.withColumn("ripper", F.lit(None).cast("string")))
     entries = manifest.collect(both, files, "/m")
     assert sorted((r.path, r.source, r.top_label) for r in entries.collect()) == [("/m/a/05 - Track Name.flac", "audiochecker_cdda100", "a/x.log"), *((p, "eac", "a/x.log") for p in ("/m/a/05 - Track Name.flac", "/m/a/06.flac", "/m/a/cd1/07.flac"))]
+    assert [f["path"] for f in json.loads(sinks.manifest_document(entries, "/m", 2))["files"]] == sorted(r.path for r in entries.collect())
     sinks.write_manifest(entries, "/m", 2, str(tmp_path / "m"))
-    assert spark.read.json(str(tmp_path / "m/files")).count() == 4 and spark.read.json(str(tmp_path / "m/head")).first().source_breakdown.eac == 3
+    assert spark.read.json(str(tmp_path / "m/files")).count() == 4 and json.loads((tmp_path / "m/head.json").read_text())["source_breakdown"] == {"audiochecker_cdda100": 1, "eac": 3}
     heads = spark.createDataFrame([(bytearray("Exact Audio Copy é".encode("utf-16")),), (bytearray(b"X Lossless Decoder"),), (bytearray(b"other"),)], "content binary")
     assert [r.r for r in heads.select(manifest.ripper(manifest.log_head(F.col("content"))).alias("r")).collect()] == ["EAC", "XLD", None]
     m = manifest.metrics(spark.sql("select 1 y, 1 p from range(7730) union all select 0, 1 from range(178) union all select 1, 0 from range(1166) union all select 0, 0 from range(712)"), "y", "p").first()
