@@ -4,10 +4,9 @@ A mask names the places of a window of words that are hashed; the others may dif
 word breaks the masks that look at it and no other. Windows of test items and of training texts with equal
 hashes are hits. The last mask ignores every fourth place, so that a passage with every fourth word substituted is found too.
 
-Around a hit, item and text are compared word by word on the hit's diagonal, REACH words to either side. Two spans are judged: all
-that is compared, and the best span (to either side of the window as far as agreement pays, a word that differs costing three
-that agree). One of them must have at least MIN_MATCH words that agree (all, for shorter items), and 3 of 4 of its own agree. So a
-verbatim excerpt of MIN_MATCH words from the middle of an item is found in the middle of a text.
+Around a hit, item and text are compared word by word on the hit's diagonal, REACH words to either side. The overlap counts if any span
+around the hit has at least MIN_MATCH words that agree (all, for shorter items) and 3 of 4 of its own agree. So an excerpt of that
+many words from the middle of an item is found in the middle of a text.
 
 Items' windows are broadcast while they are few (counted first); beyond that, windows of both sides meet in a
 shuffle, dealt by hash and salt, and only hits fetch the words around them.
@@ -90,16 +89,10 @@ def window(seg: Column, place: Column) -> Column:
     return F.slice(seg, place + 1, WINDOW)
 
 
-def arm(agree: Column) -> Column:
-    """matched and compared of the best start of a side, its words from the window outwards; agree: 1, 0, or null beyond the text or the item."""
-    none = F.struct(F.lit(0).alias("score"), F.lit(0).alias("matched"), F.lit(0).alias("compared"), F.lit(0).alias("top"), F.lit(0).alias("top_matched"), F.lit(0).alias("top_compared"))
-
-    def longer(s: Column, v: Column) -> Column:
-        score = s["score"] + F.when(v == 1, 1).otherwise(-3)
-        matched, compared, better = s["matched"] + v, s["compared"] + 1, score >= s["top"]
-        return F.struct(score.alias("score"), matched.alias("matched"), compared.alias("compared"), F.when(better, score).otherwise(s["top"]).alias("top"), F.when(better, matched).otherwise(s["top_matched"]).alias("top_matched"), F.when(better, compared).otherwise(s["top_compared"]).alias("top_compared"))
-
-    return F.aggregate(F.filter(agree, lambda v: v.isNotNull()), none, longer, lambda s: F.struct(s["top_matched"].alias("matched"), s["top_compared"].alias("compared")))
+def arms(agree: Column) -> Column:
+    """matched and compared of every start of a side, the empty one first; agree: the side's words from the window outwards: 1, 0, or null beyond the text or the item."""
+    there = F.filter(agree, lambda v: v.isNotNull())
+    return F.transform(F.sequence(F.lit(0), F.size(there)), lambda n: F.struct(F.aggregate(F.slice(there, F.lit(1), n), F.lit(0), lambda s, v: s + v).alias("matched"), n.alias("compared")))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, keys: list[str], broadcast_words: int) -> DataFrame:
@@ -114,7 +107,7 @@ def overlaps(docs: DataFrame, items: DataFrame, keys: list[str], broadcast_words
         hits = hits.select(*keys, "item_id", "size", "span", "g", window(F.col("seg"), F.col("place")).alias("w"))
     else:
         at = seeds(segments(docs), patterns).select(*keys, (F.col("base") + F.col("place")).alias("pos"), "key").withColumn("copy", salt(COPIES, *keys, "pos"))
-        copies = known.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).cast("long"))
+        copies = known.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long"))))
         met = at.join(copies.hint("merge"), ["key", "copy"]).select(*keys, "pos", "item_id", "size", "span", "g").distinct()
         texts = docs.select(*(F.col(k).alias(f"{k}_") for k in keys), padded(F.col("h")).alias("p")).hint("merge")
         same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
@@ -122,13 +115,12 @@ def overlaps(docs: DataFrame, items: DataFrame, keys: list[str], broadcast_words
     agree = F.zip_with("g", "w", lambda x, y: F.when(x == y, 1).otherwise(F.when(x.isNotNull() & y.isNotNull(), 0)))
     seen = hits.select(*keys, "item_id", "size", "span", agree.alias("agree"))
     core = F.filter(F.slice("agree", F.lit(REACH + 1), F.col("span")), lambda v: v.isNotNull())
-    left, right = arm(F.reverse(F.slice("agree", 1, REACH))), arm(F.slice("agree", F.lit(REACH + 1) + F.col("span"), F.lit(WINDOW)))
-    part = lambda f: F.size(F.filter("agree", lambda v: v == 1) if f == "matched" else F.filter("agree", lambda v: v.isNotNull()))
-    whole = F.struct(part("matched").alias("matched"), part("compared").alias("compared"))
-    best = F.struct((F.size(F.filter(core, lambda v: v == 1)) + F.col("left.matched") + F.col("right.matched")).alias("matched"), (F.size(core) + F.col("left.compared") + F.col("right.compared")).alias("compared"))
-    seen = seen.withColumns({"left": left, "right": right}).select(*keys, "item_id", "size", F.explode(F.array(whole, best)).alias("s")).select(*keys, "item_id", "size", "s.*")
-    good = seen.where((F.col("matched") >= F.least(F.lit(MIN_MATCH), F.col("size"))) & (4 * F.col("matched") >= 3 * F.col("compared")))
-    return good.groupBy(*keys, "item_id").agg(F.max("matched").alias("matched"), F.max(F.col("matched") / F.col("compared")).alias("identity"))
+    left, right = arms(F.reverse(F.slice("agree", 1, REACH))), arms(F.slice("agree", F.lit(REACH + 1) + F.col("span"), F.lit(WINDOW)))
+    seen = seen.select(*keys, "item_id", "size", F.size(F.filter(core, lambda v: v == 1)).alias("core_matched"), F.size(core).alias("core_compared"), left.alias("left"), right.alias("right"))
+    spans = F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: F.struct((F.col("core_matched") + x["matched"] + y["matched"]).alias("matched"), (F.col("core_compared") + x["compared"] + y["compared"]).alias("compared")))))
+    good = seen.withColumn("spans", F.filter(spans, lambda s: (s["matched"] >= F.least(F.lit(MIN_MATCH), F.col("size"))) & (4 * s["matched"] >= 3 * s["compared"]))).where(F.size("spans") > 0)
+    best = good.select(*keys, "item_id", F.array_max(F.transform("spans", lambda s: s["matched"])).alias("m"), F.array_max(F.transform("spans", lambda s: s["matched"] / s["compared"])).alias("i"))
+    return best.groupBy(*keys, "item_id").agg(F.max("m").alias("matched"), F.max("i").alias("identity"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:

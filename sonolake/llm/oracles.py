@@ -25,11 +25,6 @@ def _op2() -> str:
         every = [(k, m, "true") for k, m in enumerate(masks)] + [(n - 2, "1" * n, f"len(w) = {n}" if item else "true") for n in range(5, 9)]
         return " UNION ALL ".join(f"SELECT *, {key(k, m)} AS key, {len(m)} AS span FROM (SELECT *, unnest(range(len(w) - {len(m) - 1})) AS p FROM {rows} WHERE len(w) >= {len(m)} AND {when})" for k, m, when in every)
 
-    def arm(offsets: str) -> str:
-        """(matched, compared) of the longest best start, from lists of agreement."""
-        scored = f"list_transform(range(0, len({offsets}) + 1), lambda n: {{'s': coalesce(list_sum(list_transform({offsets}[1:n], lambda v: CASE WHEN v = 1 THEN 1 ELSE -3 END)), 0), 'n': n}})"
-        return f"list_aggregate({scored}, 'max')['n']"
-
     words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
     return f"""
 WITH t AS (SELECT item_id, {words} AS w FROM benchmark), d AS (SELECT doc_id, {words} AS w FROM documents),
@@ -39,9 +34,7 @@ o AS (SELECT doc_id, item_id, len(b) AS size,
   list_transform(list_filter(range(1, 9), lambda i: p - i >= 0 AND q - i >= 0), lambda i: CAST(a[p - i + 1] = b[q - i + 1] AS INTEGER)) AS l,
   list_transform(range(0, span), lambda i: CAST(a[p + i + 1] = b[q + i + 1] AS INTEGER)) AS c,
   list_transform(list_filter(range(span, 17), lambda i: p + i < len(a) AND q + i < len(b)), lambda i: CAST(a[p + i + 1] = b[q + i + 1] AS INTEGER)) AS r FROM m),
-n AS (SELECT *, {arm('l')} AS nl, {arm('r')} AS nr FROM o),
-e AS (SELECT doc_id, item_id, size, coalesce(list_sum(l), 0) + list_sum(c) + coalesce(list_sum(r), 0) AS matched, len(l) + len(c) + len(r) AS compared FROM n
-  UNION ALL SELECT doc_id, item_id, size, coalesce(list_sum(l[1:nl]), 0) + list_sum(c) + coalesce(list_sum(r[1:nr]), 0), nl + len(c) + nr FROM n)
+e AS (SELECT doc_id, item_id, size, coalesce(list_sum(l[1:nl]), 0) + list_sum(c) + coalesce(list_sum(r[1:nr]), 0) AS matched, nl + len(c) + nr AS compared FROM o, (SELECT unnest(range(9)) AS nl), (SELECT unnest(range(13)) AS nr) WHERE nl <= len(l) AND nr <= len(r))
 SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched, round(max(matched / CAST(compared AS DOUBLE)), 6) AS identity FROM e
 WHERE matched >= least(13, size) AND 4 * matched >= 3 * compared GROUP BY doc_id, item_id
 """
