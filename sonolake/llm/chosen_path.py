@@ -48,7 +48,7 @@ PERCENT = 75
 TREES = 8
 #: Members of a node that one task compares exhaustively, and members outside a large node's main component that are compared with all
 #: others in blocks: a member costs at most that many comparisons a node, whatever the node's size.
-SMALL = 1000
+SMALL = 6000
 FEW = 256
 DEPTH = 6
 #: Members of a large node that every member is held against to find the hub, and rows of a part of a large node.

@@ -56,7 +56,7 @@ def crowd():
     return list(zip(order, texts))
 
 
-@pytest.mark.parametrize("small, few, depth", [(1000, 256, 6), (8, 2, 4), (4, 1, 1)])
+@pytest.mark.parametrize("small, few, depth", [(6000, 256, 6), (8, 2, 4), (4, 1, 1)])
 def test_near_duplicates(spark, crowd, small, few, depth):
     docs = spark.createDataFrame(crowd, "doc_id long, text string").repartition(3).withColumns({c: F.lit("x") for c in cases.CLASHING})
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in chosen_path.near_duplicates(docs, small, few, depth).collect()}
