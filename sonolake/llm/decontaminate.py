@@ -4,9 +4,8 @@ A mask names the places of a window of words that are hashed; the others may dif
 word breaks the masks that look at it and no other. Windows of test items and of training texts with equal
 hashes are hits. The last mask ignores every fourth place, so that a passage with every fourth word substituted is found too.
 
-Around a hit, item and text are compared word by word on the hit's diagonal, REACH words to either side. The overlap counts if any span
-around the hit has at least MIN_MATCH words that agree (all, for shorter items) and 3 of 4 of its own agree. So an excerpt of that
-many words from the middle of an item is found in the middle of a text.
+Around a hit, item and text are compared word by word on the hit's diagonal, REACH words to either side; the overlap counts if at least
+MIN_MATCH words agree (all, for shorter items) and 3 of 4 of those compared.
 
 Items' windows are broadcast while they are few (counted first); beyond that, windows of both sides meet in a
 shuffle, dealt by hash and salt, and only hits fetch the words around them.
@@ -70,57 +69,47 @@ def segments(rows: DataFrame) -> DataFrame:
 def seeds(rows: DataFrame, patterns: list[int]) -> DataFrame:
     """Explodes segments into key and place (in seg) of each window and pattern; a text's last windows lack words and have none.
 
-    One expression a pattern, over all places of a segment: written out for each place they are too much code for one method.
+    Written out for each place of a segment: that is more code than whole-stage compilation takes, so that this projection is compiled by
+    itself. As one lambda over the places it was interpreted, at four times the CPU seconds.
     """
-
-    def keys(k: int) -> Column:
-        # nulls before and after the text are not hashed, so the rims are tested
-        def key(p: Column) -> Column:
-            word = lambda o: F.get("seg", p + (REACH + o))
-            return F.when(word(0).isNotNull() & word(span(k) - 1).isNotNull(), F.xxhash64(F.lit(k), *(word(o) for o in offsets(k))))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(STEP - 1)), lambda p: F.struct(p.alias("place"), F.lit(k).alias("pattern"), key(p).alias("key")))
-
-    at = rows.withColumn("w", F.explode(F.filter(F.concat(*map(keys, patterns)), lambda x: x["key"].isNotNull())))
-    return at.select(*rows.columns, "w.place", "w.pattern", "w.key")
+    keys = []
+    for p in range(STEP):
+        for k in patterns:
+            # nulls before and after the text are not hashed, so the rims are tested
+            here = REACH + p
+            inside = F.get("seg", F.lit(here)).isNotNull() & F.get("seg", F.lit(here + span(k) - 1)).isNotNull()
+            keys.append(F.when(inside, F.xxhash64(F.lit(k), *(F.get("seg", F.lit(here + o)) for o in offsets(k)))))
+    at = rows.select(*rows.columns, F.posexplode(F.array(*keys)).alias("n", "key")).where("key is not null")
+    number = F.array(*map(F.lit, patterns))
+    return at.select(*rows.columns, "key", F.expr(f"n div {len(patterns)}").cast("int").alias("place"), F.get(number, F.col("n") % len(patterns)).alias("pattern"))
 
 
 def window(seg: Column, place: Column) -> Column:
     return F.slice(seg, place + 1, WINDOW)
 
 
-def arms(agree: Column) -> Column:
-    """matched and compared of every start of a side, the empty one first; agree: the side's words from the window outwards: 1, 0, or null beyond the text or the item."""
-    there = F.filter(agree, lambda v: v.isNotNull())
-    return F.transform(F.sequence(F.lit(0), F.size(there)), lambda n: F.struct(F.aggregate(F.slice(there, F.lit(1), n), F.lit(0), lambda s, v: s + v).alias("matched"), n.alias("compared")))
-
-
 def overlaps(docs: DataFrame, items: DataFrame, keys: list[str], broadcast_words: int) -> DataFrame:
     """keys, item_id, matched (most words that agree), identity (best share) of every overlap. docs: keys and h (words' hashes)."""
     test = items.select("item_id", word_hashes(F.col("text")).alias("h")).withColumn("size", F.size("h"))
     sizes = test.where(F.col("size") >= FEWEST).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.collect_set(F.when(F.col("size") < SPAN, F.col("size"))).alias("short")).first()
     patterns = [*range(len(MASKS)), *sorted(len(MASKS) + n - FEWEST for n in sizes.short)]
     span_of = F.create_map(*(F.lit(x) for k in patterns for x in (k, span(k))))[F.col("pattern")]
-    known = seeds(segments(test), patterns).where((F.col("pattern") < len(MASKS)) | (span_of == F.col("size"))).select("item_id", "size", "key", span_of.alias("span"), window(F.col("seg"), F.col("place")).alias("g"))
+    known = seeds(segments(test), patterns).where((F.col("pattern") < len(MASKS)) | (span_of == F.col("size"))).select("item_id", "size", "key", window(F.col("seg"), F.col("place")).alias("g"))
     if sizes.words <= broadcast_words:
         hits = seeds(segments(docs), patterns).select(*keys, "seg", "place", "key").join(F.broadcast(known), "key")
-        hits = hits.select(*keys, "item_id", "size", "span", "g", window(F.col("seg"), F.col("place")).alias("w"))
+        hits = hits.select(*keys, "item_id", "size", "g", window(F.col("seg"), F.col("place")).alias("w"))
     else:
         at = seeds(segments(docs), patterns).select(*keys, (F.col("base") + F.col("place")).alias("pos"), "key").withColumn("copy", salt(COPIES, *keys, "pos"))
         copies = known.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long"))))
-        met = at.join(copies.hint("merge"), ["key", "copy"]).select(*keys, "pos", "item_id", "size", "span", "g").distinct()
+        met = at.join(copies.hint("merge"), ["key", "copy"]).select(*keys, "pos", "item_id", "size", "g").distinct()
         texts = docs.select(*(F.col(k).alias(f"{k}_") for k in keys), padded(F.col("h")).alias("p")).hint("merge")
         same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
-        hits = met.join(texts, same).select(*keys, "item_id", "size", "span", "g", window(F.col("p"), F.col("pos")).alias("w"))
+        hits = met.join(texts, same).select(*keys, "item_id", "size", "g", window(F.col("p"), F.col("pos")).alias("w"))
     agree = F.zip_with("g", "w", lambda x, y: F.when(x == y, 1).otherwise(F.when(x.isNotNull() & y.isNotNull(), 0)))
-    seen = hits.select(*keys, "item_id", "size", "span", agree.alias("agree"))
-    core = F.filter(F.slice("agree", F.lit(REACH + 1), F.col("span")), lambda v: v.isNotNull())
-    left, right = arms(F.reverse(F.slice("agree", 1, REACH))), arms(F.slice("agree", F.lit(REACH + 1) + F.col("span"), F.lit(WINDOW)))
-    seen = seen.select(*keys, "item_id", "size", F.size(F.filter(core, lambda v: v == 1)).alias("core_matched"), F.size(core).alias("core_compared"), left.alias("left"), right.alias("right"))
-    spans = F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: F.struct((F.col("core_matched") + x["matched"] + y["matched"]).alias("matched"), (F.col("core_compared") + x["compared"] + y["compared"]).alias("compared")))))
-    good = seen.withColumn("spans", F.filter(spans, lambda s: (s["matched"] >= F.least(F.lit(MIN_MATCH), F.col("size"))) & (4 * s["matched"] >= 3 * s["compared"]))).where(F.size("spans") > 0)
-    best = good.select(*keys, "item_id", F.array_max(F.transform("spans", lambda s: s["matched"])).alias("m"), F.array_max(F.transform("spans", lambda s: s["matched"] / s["compared"])).alias("i"))
-    return best.groupBy(*keys, "item_id").agg(F.max("m").alias("matched"), F.max("i").alias("identity"))
+    seen = hits.select(*keys, "item_id", "size", agree.alias("agree"))
+    seen = seen.select(*keys, "item_id", "size", F.size(F.filter("agree", lambda v: v.isNotNull())).alias("compared"), F.size(F.filter("agree", lambda v: v == 1)).alias("matched"))
+    good = seen.where((F.col("matched") >= F.least(F.lit(MIN_MATCH), F.col("size"))) & (4 * F.col("matched") >= 3 * F.col("compared")))
+    return good.groupBy(*keys, "item_id").agg(F.max("matched").alias("matched"), F.max(F.col("matched") / F.col("compared")).alias("identity"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
