@@ -59,29 +59,29 @@ def padded(h: Column) -> Column:
 def segments(rows: DataFrame) -> DataFrame:
     """Explodes h into pieces of STEP places each: base, seg (the words of these places and all that a hit there looks at).
 
-    A piece is short, so that its windows can be exploded without copying a long text for each of its words.
+    A piece is short, so that the hits of a long text are not held at once. Texts of fewer than FEWEST words have no pieces; a filter on
+    their size would be pushed below the words and find them a second time.
     """
-    starts = F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(STEP))
+    size = F.size("p") - REACH
+    starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(STEP))
     pieces = F.transform(starts, lambda s: F.struct(s.alias("base"), F.slice("p", s + 1, STEP + WINDOW - 1).alias("seg")))
-    return rows.where(F.size("h") >= FEWEST).withColumn("p", padded(F.col("h"))).withColumn("s", F.explode(pieces)).drop("h", "p").withColumns({"base": F.col("s.base"), "seg": F.col("s.seg")}).drop("s")
+    return rows.withColumn("p", padded(F.col("h"))).withColumn("s", F.explode(F.when(size >= FEWEST, pieces))).drop("h", "p").withColumns({"base": F.col("s.base"), "seg": F.col("s.seg")}).drop("s")
 
 
 def seeds(rows: DataFrame, patterns: list[int]) -> DataFrame:
     """Explodes segments into key and place (in seg) of each window and pattern; a text's last windows lack words and have none.
 
-    Written out for each place of a segment: that is more code than whole-stage compilation takes, so that this projection is compiled by
-    itself. As one lambda over the places it was interpreted, at four times the CPU seconds.
+    Places are exploded first and the hashes written out for one of them: that is little code, without lambdas, so that both explosions and
+    a join with broadcast windows are one compiled loop, which copies no segment for a key that is not found.
     """
     keys = []
-    for p in range(STEP):
-        for k in patterns:
-            # nulls before and after the text are not hashed, so the rims are tested
-            here = REACH + p
-            inside = F.get("seg", F.lit(here)).isNotNull() & F.get("seg", F.lit(here + span(k) - 1)).isNotNull()
-            keys.append(F.when(inside, F.xxhash64(F.lit(k), *(F.get("seg", F.lit(here + o)) for o in offsets(k)))))
-    at = rows.select(*rows.columns, F.posexplode(F.array(*keys)).alias("n", "key")).where("key is not null")
+    for k in patterns:
+        # nulls before and after the text are not hashed, so the rims are tested
+        at = lambda o: F.get("seg", F.col("place") + (REACH + o))
+        keys.append(F.when(at(0).isNotNull() & at(span(k) - 1).isNotNull(), F.xxhash64(F.lit(k), *map(at, offsets(k)))))
+    places = rows.select(*rows.columns, F.explode(F.sequence(F.lit(0), F.lit(STEP - 1))).alias("place"))
     number = F.array(*map(F.lit, patterns))
-    return at.select(*rows.columns, "key", F.expr(f"n div {len(patterns)}").cast("int").alias("place"), F.get(number, F.col("n") % len(patterns)).alias("pattern"))
+    return places.select(*places.columns, F.posexplode(F.array(*keys)).alias("n", "key")).where("key is not null").withColumn("pattern", F.get(number, F.col("n"))).drop("n")
 
 
 def window(seg: Column, place: Column) -> Column:
@@ -94,10 +94,12 @@ def overlaps(docs: DataFrame, items: DataFrame, keys: list[str], broadcast_words
     sizes = test.where(F.col("size") >= FEWEST).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.collect_set(F.when(F.col("size") < SPAN, F.col("size"))).alias("short")).first()
     patterns = [*range(len(MASKS)), *sorted(len(MASKS) + n - FEWEST for n in sizes.short)]
     span_of = F.create_map(*(F.lit(x) for k in patterns for x in (k, span(k))))[F.col("pattern")]
-    known = seeds(segments(test), patterns).where((F.col("pattern") < len(MASKS)) | (span_of == F.col("size"))).select("item_id", "size", "key", window(F.col("seg"), F.col("place")).alias("g"))
+    # equal windows of one item judge alike; the compiled join holds all hits of a segment at once
+    known = seeds(segments(test), patterns).where((F.col("pattern") < len(MASKS)) | (span_of == F.col("size"))).select("item_id", "size", "key", window(F.col("seg"), F.col("place")).alias("g")).distinct()
     if sizes.words <= broadcast_words:
         hits = seeds(segments(docs), patterns).select(*keys, "seg", "place", "key").join(F.broadcast(known), "key")
-        hits = hits.select(*keys, "item_id", "size", "g", window(F.col("seg"), F.col("place")).alias("w"))
+        # exploded, so that the comparison is not pushed into the join: it has lambdas, with which a join is not compiled
+        hits = hits.select(*keys, "item_id", "size", "g", F.explode(F.array(window(F.col("seg"), F.col("place")))).alias("w"))
     else:
         at = seeds(segments(docs), patterns).select(*keys, (F.col("base") + F.col("place")).alias("pos"), "key").withColumn("copy", salt(COPIES, *keys, "pos"))
         copies = known.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long"))))

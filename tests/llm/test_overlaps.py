@@ -1,6 +1,7 @@
 """Near duplicates, line chunks and decontamination against brute force and SQL."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -252,6 +253,42 @@ def test_substitutions_and_excerpts(spark):
     assert share["fifth"] >= 0.97 and share["11 words"] == 0
 
 
+@pytest.mark.parametrize("broadcast_words", [10**6, 0])
+def test_places_around_the_rims_of_segments(spark, broadcast_words):
+    """An item at every place of a segment and the next ones, and items of 4 to 9 words that are whole texts."""
+    item = cases.words("rim", 40)
+    short = [(n, " ".join(f"short{n}q{i}" for i in range(n))) for n in range(4, 10)]
+    docs = [(1000 + n, f"{cases.words(n, n)} {item} {cases.words(-n, 30)}") for n in range(decontaminate.STEP + 40)] + short
+    got = {(r.doc_id, r.item_id, r.matched, r.identity) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), *short], "item_id long, text string"), broadcast_words).collect()}
+    assert got == {(i, 1, 25, 1.0) for i, _ in docs[: -len(short)]} | {(n, n, n, 1.0) for n in range(5, 10)}
+
+
+@pytest.mark.parametrize("broadcast_words", [10**6, 0])
+def test_one_word_over_and_over(spark, broadcast_words):
+    docs = spark.createDataFrame([(1, "again " * 3000), (2, "again " * 20)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "again " * 3000)], "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.contaminated(docs, items, broadcast_words).collect())) == [(1, 1, 25, 1.0), (2, 1, 20, 1.0)]
+
+
+def test_windows_are_found_in_one_compiled_loop(spark):
+    """Hashes, join and all between are one stage of generated code, in methods that the JVM compiles (8000 bytes), and words are found once."""
+    items = spark.createDataFrame([(n, cases.words(f"size {n}", n)) for n in (5, 6, 7, 8, 40)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, cases.words(1, 300))], "doc_id long, text string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for found in (decontaminate.contaminated(docs, items), decontaminate.clean(docs, items)):
+            execution = found._jdf.queryExecution()
+            stages = spark._jvm.PythonSQLUtils.explainString(execution, "codegen").split("== Subtree ")[1:]
+            plans = [(int((re.findall(r"maxMethodCodeSize:(\d+)", s) or [65536])[0]), re.sub(r"(?m)^[ :+-]*", "", s.split("Generated code:")[0])) for s in stages]
+            joins = [(size, [line for line in plan.split("\n") if line.startswith(f"*({number})")]) for number, (size, plan) in enumerate(plans, 1)]
+            [(size, loop)] = [(size, loop) for size, loop in joins if any("BroadcastHashJoin [key" in line for line in loop)]
+            assert size < 8000 and sum("Generate " in line for line in loop) == 3
+            assert execution.optimizedPlan().toString().count("regexp_extract_all") == 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_clean(spark):
     docs, items = leaky(spark)
     left = decontaminate.clean(docs, items)
